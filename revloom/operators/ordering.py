@@ -47,9 +47,9 @@ def number_rows(
     )
     per_part = pinned.groupBy(PART).agg(F.count(F.lit(1)).alias("__n"))
     return (
-        pinned.join(_offsets(per_part, "__n", "__before"), PART)
-        .withColumn(out, (F.col("__before") + F.col(POS) + start).cast("bigint"))
-        .drop(PART, POS, "__before")
+        pinned.join(_offsets(per_part, "__n", "__shift"), PART)
+        .withColumn(out, (F.col("__shift") + F.col(POS) + start).cast("bigint"))
+        .drop(PART, POS, "__shift")
     )
 
 
@@ -68,7 +68,7 @@ def running_total(
     per_part = pinned.groupBy(PART).agg(F.sum(amount).alias("__n"))
     return (
         pinned.withColumn("__within", F.coalesce(F.sum(amount).over(before), F.lit(0)))
-        .join(_offsets(per_part, "__n", "__before"), PART)
-        .withColumn(out, (F.col("__within") + F.col("__before")).cast("bigint"))
-        .drop(PART, "__within", "__before")
+        .join(_offsets(per_part, "__n", "__shift"), PART)
+        .withColumn(out, (F.col("__within") + F.col("__shift")).cast("bigint"))
+        .drop(PART, "__within", "__shift")
     )

@@ -291,7 +291,7 @@ SELECT review_id, round(pr, 9) AS percent_rank, pr <= 0.8 AS is_train FROM r""",
         "q37_ridge_by_community": f"""
 WITH {REV}, {MEMBERSHIP},
 two AS (
-  SELECT community_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, label AS y
+  SELECT community_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, rev.label AS y
   FROM rev JOIN embeddings ON vec_id = part_id % (SELECT count(*) FROM embeddings)
   JOIN membership USING (user_id) WHERE {IS_TRAIN}),
 m AS (

@@ -47,13 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    Used where recomputation could change the answer (sampled range bounds) or where a loop
-    would let the plan grow.
+    This cuts the lineage: used where recomputation could change the answer (sampled range
+    bounds) or where a loop would let the plan grow. A table, other than a checkpoint, also tells
+    the optimiser its true size; checkpoints keep the estimate of the plan they replace, which
+    multiplies with every join of a loop.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
