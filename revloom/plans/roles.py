@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from revloom.functions.vectors import components
+from revloom.session import spread
 from revloom.sources.schemas import COMPLIMENTS
 
 REVIEW_KEY = ["review_id"]
@@ -27,7 +27,7 @@ def supplier_name(number: Column) -> Column:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = table(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -67,9 +67,7 @@ def review_vectors(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
     """Reviews with ``features``: the first ``k`` numbers of an embedding chosen by the part."""
     embeddings = table(spark, sf_dir, "embeddings")
     size = embeddings.count()
-    wide = embeddings.select(
-        "vec_id", F.array(*[x.cast("double") for x in components("embedding", k)]).alias("features")
-    )
+    wide = embeddings.select("vec_id", F.slice("embedding", 1, k).cast("array<double>").alias("features"))
     keyed = reviews(spark, sf_dir).withColumn("vec_id", F.col("part_id") % F.lit(size))
     return keyed.join(wide, "vec_id").drop("vec_id", "part_id")
 
@@ -183,7 +181,7 @@ def region_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def community_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(line_id, value)``: one short community per order, numbers split by tabs, empty tail."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     return o.select(
         F.col("o_orderkey").alias("line_id"),
         F.concat(
@@ -198,4 +196,4 @@ def community_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
-from revloom.operators.evaluate import evaluate, sum_pairs
+from revloom.operators.evaluate import METRIC_ROW, evaluate, sum_pairs
 from revloom.operators.regression import (
+    BLENDED,
+    blended_test,
     fit_estimator_by_community,
     fit_predict,
     fit_predict_by_community,
     linear_regression,
 )
+from revloom.session import pin
 
 RIDGE = "ridge"
 
@@ -32,23 +36,28 @@ def sweep(
     ``vectors(k)`` gives split review vectors. ``memberships`` maps the number of communities to
     ``(user_id, community_id)``; ``None`` stands for the global model. A model is an estimator, or
     ``RIDGE`` for linear models, which take one pass for all communities. Settings are few, rows
-    are many: the loop is over settings, each of which is a distributed job.
+    are many: the loop is over settings, each of which is a distributed job, and three numbers per
+    setting come back.
     """
-    parts: list[DataFrame] = []
+    rows: list[tuple] = []
     for k in ks:
-        rows = vectors(k)
+        reviews = vectors(k).persist(StorageLevel.MEMORY_AND_DISK)
+        # The blend does not depend on the model or the communities.
+        blended = pin(blended_test(reviews, mode, k).select(*BLENDED))
         for c, membership in memberships.items():
             for name, estimator in models.items():
                 if membership is None:
                     chosen = linear_regression(reg_param) if estimator == RIDGE else estimator
-                    scored, _ = fit_predict(rows, chosen, k, mode)
+                    scored, _ = fit_predict(reviews, chosen, k, mode, blended=blended)
                 elif estimator == RIDGE:
-                    scored, _ = fit_predict_by_community(rows, membership, k, reg_param, mode)
+                    scored, _ = fit_predict_by_community(
+                        reviews, membership, k, reg_param, mode, blended=blended
+                    )
                 else:
-                    scored, _ = fit_estimator_by_community(rows, membership, estimator, k, mode)
+                    scored, _ = fit_estimator_by_community(
+                        reviews, membership, estimator, k, mode, blended=blended
+                    )
                     scored = sum_pairs(scored)
-                parts.append(evaluate(scored, run_id, k, c, name))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+                rows += [tuple(r) for r in evaluate(scored, run_id, k, c, name).collect()]
+        reviews.unpersist()
+    return blended.sparkSession.createDataFrame(rows, METRIC_ROW)
