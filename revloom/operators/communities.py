@@ -43,10 +43,15 @@ def community_arrays(membership: DataFrame) -> DataFrame:
     )
 
 
-def attach_communities(reviews: DataFrame, membership: DataFrame, as_array: bool = False) -> DataFrame:
-    """Reviews of users in a community: one row per review and community, or an array per review."""
+def attach_communities(
+    reviews: DataFrame, membership: DataFrame, as_array: bool = False, hot_users: HotKeys = ()
+) -> DataFrame:
+    """Reviews of users in a community: one row per review and community, or an array per review.
+
+    Users with very many reviews may be named as hot keys (``skew.hot_keys``).
+    """
     side = community_arrays(membership) if as_array else membership.select("user_id", "community_id")
-    return reviews.join(side, "user_id")
+    return skew_join(reviews, side, ["user_id"], hot_users)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

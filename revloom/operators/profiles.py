@@ -12,6 +12,7 @@ from revloom.functions.vectors import (
     sum_normalise,
     vector_sums,
 )
+from revloom.operators.skew import HotKeys, skew_join
 
 MODES = ("sumnorm", "l2sum", "mean")
 # How each mode normalises the blended vector.
@@ -48,17 +49,25 @@ def blend(
     business_profiles: DataFrame,
     norm: str | None = "l2",
     min_abs_sum: float = 0.0,
+    hot_users: HotKeys = (),
+    hot_businesses: HotKeys = (),
 ) -> DataFrame:
     """Add ``user_features``, ``business_features`` and their normalised product to ``pairs``.
 
     Give distinct pairs where possible: the blend depends on the pair only, and narrow rows are
-    what gets shuffled.
+    what gets shuffled. Users or businesses with very many pairs may be named as hot keys
+    (``skew.hot_keys``) to spread them over tasks without adaptive execution.
     """
     users = user_profiles.select("user_id", F.col("profile").alias("user_features"))
     businesses = business_profiles.select("business_id", F.col("profile").alias("business_features"))
     product = (
-        pairs.join(users, "user_id")
-        .join(businesses, "business_id")
+        skew_join(
+            skew_join(pairs, users, ["user_id"], hot_users, salt_on=["business_id"]),
+            businesses,
+            ["business_id"],
+            hot_businesses,
+            salt_on=["user_id"],
+        )
         .withColumn("blended_features", hadamard("user_features", "business_features"))
     )
     if norm is None:

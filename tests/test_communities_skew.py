@@ -21,6 +21,8 @@ def test_attach_communities(spark):
     reviews = spark.createDataFrame([("r1", 1), ("r2", 2), ("r3", 9)], "review_id string, user_id bigint")
     long = com.attach_communities(reviews, member).collect()
     assert sorted((r.review_id, r.community_id) for r in long) == [("r1", 2), ("r1", 5), ("r2", 5)]
+    hot = com.attach_communities(reviews, member, hot_users=[((1,), 4)])
+    assert sorted((r.review_id, r.community_id) for r in hot.collect()) == [("r1", 2), ("r1", 5), ("r2", 5)]
     arrays = com.attach_communities(reviews, member, as_array=True).collect()
     assert {r.review_id: r.community_id_arr for r in arrays} == {"r1": [2, 5], "r2": [5]}
 
@@ -101,3 +103,29 @@ def test_hot_key_list_is_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 100).alias("k"))
     assert len(hot_keys(df, ["k"], rows_per_task=1, max_keys=5)) == 5
     assert hot_keys(df, ["k"]) == []
+
+
+def test_adaptive_execution_splits_a_hot_key(spark):
+    """The setting the plain joins rely on, also where the join feeds an aggregation on its key."""
+    changed = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("user_id"), "id"
+        )
+        member = spark.range(5000).select(F.col("id").alias("user_id"), (F.col("id") % 7).alias("community_id"))
+        sums = com.attach_communities(left, member).groupBy("user_id").agg(F.sum("id").alias("n"))
+        assert sums.agg(F.sum("n")).first()[0] == 60_000 * 59_999 // 2
+        sums.collect()
+        assert "skew=true" in sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

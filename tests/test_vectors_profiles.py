@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from revloom.functions import vectors as v
 from revloom.operators import profiles
+from revloom.operators.skew import hot_keys
 
 ROWS = [
     ("r1", 1, 10, [1.0, 2.0, 3.0]),
@@ -109,6 +110,21 @@ def test_blend_keeps_review_ids_and_is_per_pair(reviews):
     _close(rows["r1"].normFeatures, _l2(ROWS[0][3]))
 
 
+def test_hot_keys_do_not_change_the_blend(reviews):
+    users = profiles.entity_profiles(reviews, "user_id", "mean", 3)
+    shops = profiles.entity_profiles(reviews, "business_id", "mean", 3)
+    pairs = reviews.select("user_id", "business_id").distinct()
+    hot_users, hot_shops = hot_keys(pairs, ["user_id"], 1), hot_keys(pairs, ["business_id"], 1)
+    assert hot_users == [((1,), 2), ((2,), 2)] and len(hot_shops) == 2
+    plain = profiles.blend(pairs, users, shops).collect()
+    salted = profiles.blend(pairs, users, shops, hot_users=hot_users, hot_businesses=hot_shops).collect()
+    key = lambda r: (r.user_id, r.business_id)
+    assert len(plain) == 5
+    for a, b in zip(sorted(plain, key=key), sorted(salted, key=key)):
+        assert key(a) == key(b)
+        _close(a.blended_features, b.blended_features)
+
+
 def test_unknown_mode(reviews):
     with pytest.raises(ValueError):
         profiles.entity_profiles(reviews, "user_id", "median", 3)
