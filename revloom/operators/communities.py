@@ -29,11 +29,13 @@ def parse_communities(lines: DataFrame, line: str = "value", line_id: str | None
     order of a hash of their sorted members: stable under any partitioning of the text.
     """
     lists = lines.select(*([F.col(line_id).alias("community_id")] if line_id else []), members(line).alias("m"))
-    lists = lists.where(F.size("m") > 0)
     if line_id is None:
+        lists = lists.where(F.size("m") > 0)
         name = F.md5(F.array_join(F.sort_array("m"), ",").cast("binary"))
         lists = number_rows(lists.withColumn("__name", name), [F.asc("__name")], "community_id", start=1)
-    return lists.select("community_id", F.explode("m").alias("user_id")).distinct()
+    # Outer, as the plain form would make Spark parse each line again to test its size.
+    long = lists.select("community_id", F.explode_outer("m").alias("user_id"))
+    return long.where(F.col("user_id").isNotNull()).distinct()
 
 
 def community_arrays(membership: DataFrame) -> DataFrame:
