@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, token_counts
+from revloom.llm import bpe, html_text, langid, minhash, token_counts
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(JSON_VOCABULARY))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents of five-word shingles with a similarity of 0.85 or more."""
+    return minhash.deduplicate(table(spark, sf_dir, "documents"), threshold=85)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(RANKS), keep_ids=False)
@@ -35,7 +50,38 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash": op2_minhash,
+    "op3_html_text": op3_html_text,
+    "op4_language": op4_language,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+# Words and shingles as the operator has them; links by counting shared shingles; then reachability.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM words
+), items AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM sets
+    UNION
+    SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON s.doc_id = r.a
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL}
