@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, html_text, langid, minhash, token_counts
+from revloom.llm import bpe, html_text, langid, minhash, token_counts, toxicity
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(RANKS), keep_ids=False)
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
