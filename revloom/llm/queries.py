@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, html_text, langid, minhash, token_counts, toxicity
+from revloom.llm import bpe, html_text, langid, minhash, suffix_dedup, token_counts, toxicity
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -48,6 +48,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages of 100 bytes or more."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(RANKS), keep_ids=False)
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
