@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, html_text, langid, minhash, suffix_dedup, token_counts, toxicity
+from revloom.llm import bpe, decontaminate, html_text, langid, minhash, suffix_dedup, token_counts, toxicity
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -48,6 +48,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document; the list of ids as text."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join("item_ids", ","))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages of 100 bytes or more."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
@@ -96,4 +103,51 @@ SELECT s.doc_id, len(s.s) AS n_shingles, r.component_id, s.doc_id = r.component_
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON s.doc_id = r.a
 """
 
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL}
+# The same masks over words as text instead of hashes; windows of aligned words.
+OP7_SQL = r"""
+WITH masks(ones, span) AS (
+    VALUES ([1, 2, 3, 6, 7], 7), ([1, 2, 4, 6, 7], 7), ([1, 2, 5, 7, 9], 9)
+), numbered AS (
+    SELECT row_number() OVER () AS m, ones, span FROM masks
+), doc_words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM benchmark
+), doc_places AS (
+    SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM doc_words
+), item_places AS (
+    SELECT item_id, w, unnest(range(0, len(w))) AS q FROM item_words
+), doc_seeds AS (
+    SELECT doc_id, p, m, array_to_string(list_transform(ones, lambda o: w[p + o]), ' ') AS seed
+    FROM doc_places JOIN numbered ON p + span <= len(w)
+), item_seeds AS (
+    SELECT item_id, q, m, array_to_string(list_transform(ones, lambda o: w[q + o]), ' ') AS seed
+    FROM item_places JOIN numbered ON q + span <= len(w)
+), hits AS (
+    SELECT DISTINCT doc_id, item_id, p - q AS d FROM doc_seeds JOIN item_seeds USING (m, seed)
+), aligned AS (
+    SELECT h.doc_id, h.item_id, h.d, least(20, len(i.w)) AS width,
+        list_transform(range(1, len(i.w) + 1), lambda j:
+            CASE WHEN j + h.d >= 1 AND j + h.d <= len(x.w) AND x.w[j + h.d] = i.w[j] THEN 1 ELSE 0 END) AS e
+    FROM hits h JOIN doc_words x USING (doc_id) JOIN item_words i USING (item_id)
+), shares AS (
+    SELECT doc_id, item_id, list_max(list_transform(range(1, len(e) - width + 2), lambda s:
+        list_sum(e[s:s + width - 1]))) * 100 / width AS share
+    FROM aligned
+), found AS (
+    SELECT doc_id, item_id, max(share) AS share FROM shares WHERE share >= 80 GROUP BY doc_id, item_id
+), per_doc AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids, max(share) AS share FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_items, coalesce(ids, '') AS item_ids,
+    coalesce(share, 0.0)::DOUBLE AS share, n IS NOT NULL AS contaminated
+FROM documents d LEFT JOIN per_doc USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op7_decontaminate": OP7_SQL}
