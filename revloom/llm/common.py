@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 # Words of the word-based operators: runs of bytes that are none of space, tab, \n, \v, \f, \r.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -75,3 +76,14 @@ def _buffers(column: pa.Array) -> list[_Sized | None]:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` of a table of documents, whatever other columns it has."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+
+
+def carried(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The caller's columns as one struct ``row``, so that no name of theirs meets one of ours."""
+    return [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []
+
+
+def with_row(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``ddl`` and, if ``df`` carries one, its ``row``."""
+    schema = StructType.fromDDL(ddl)
+    return schema.add(df.schema["row"]) if "row" in df.columns else schema

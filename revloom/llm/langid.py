@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from revloom.llm.common import is_rest, slices, text_of
+from revloom.llm.common import carried, is_rest, slices, text_of, with_row
 
 DEPTH = 3
 UNKNOWN = "und"
@@ -174,21 +174,24 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = model.value.predict(part.column("text").to_pylist())
-            columns = [c for name, c in zip(part.schema.names, part.columns) if name != "text"]
-            names = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())],
-                [*names, "lang_pred", "score"],
-            )
+            found = {
+                "doc_id": part.column("doc_id"),
+                "held_out": part.column("held_out"),
+                "lang_pred": pa.array([r[0] for r in rows], pa.string()),
+                "score": pa.array([r[1] for r in rows], pa.float64()),
+            }
+            if "row" in part.schema.names:
+                found["row"] = part.column("row")
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     return run
 
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    folds: int = 5, per_lang: int = 400,
+    folds: int = 5, per_lang: int = 400, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)`` for every row.
+    """``(doc_id, held_out, lang_pred, score)`` for every row, and ``row``, a struct of the columns ``carry``.
 
     ``held_out`` rows (crc32 of the id modulo ``folds`` is 0) are never learnt from; only the text
     is looked at for a prediction. A text that is null or has no letter is ``und`` with score 0, as
@@ -198,8 +201,9 @@ def identify(
     """
     held_out = is_rest(id_col, folds, 0)
     model = train(docs, ~held_out, text_col, lang_col, per_lang)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"), *carried(docs, carry))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        unknown = rows.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return unknown.select("doc_id", "held_out", "lang_pred", "score", *(["row"] if carry else []))
     model = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(model), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model), with_row(rows, "doc_id bigint, held_out boolean, lang_pred string, score double"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, decontaminate, html_text, langid, minhash, ngram_lm, suffix_dedup, token_counts, toxicity
+from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, minhash, ngram_lm, suffix_dedup, token_counts, toxicity
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,7 +30,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents of five-word shingles with a similarity of 0.85 or more."""
-    return minhash.deduplicate(table(spark, sf_dir, "documents"), threshold=85)
+    return minhash.deduplicate(table(spark, sf_dir, "documents"), threshold=85).drop("text_hash")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors with a cosine of 0.95 or more."""
+    return embedding_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document; the list of ids as text."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op6_nn_descent": op6_nn_descent,
     "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
@@ -156,4 +162,26 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_items, coalesce(ids, '') AS item_id
 FROM documents d LEFT JOIN per_doc USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op7_decontaminate": OP7_SQL}
+# Cosine of all pairs; then reachability.
+OP6_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a
+), component AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN degree USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_nn_descent": OP6_SQL, "op7_decontaminate": OP7_SQL}

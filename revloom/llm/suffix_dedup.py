@@ -19,14 +19,14 @@ matching statistics streamed along the texts, which mark the windows that occur
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revloom.llm.common import keyed, slices
+from revloom.llm.common import carried, slices, text_of, with_row
 from revloom.session import pin
 
 OWNER = 32
@@ -340,20 +340,24 @@ def _clean(length: int, keep: bool):
             names = list(out)
             if not keep:
                 columns, names = columns[:4], names[:4]
+            if "row" in part.schema.names:
+                columns, names = [*columns, part.column("row")], [*names, "row"]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep: bool = True
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep: bool = True,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier.
 
     Earlier means a smaller id, or the same document and a smaller place; strings may overlap, never
     cross documents, and are judged on the input. ``(doc_id, n_bytes, n_removed, n_spans,
     kept_sha256)`` for every row and, with ``keep``, the removed ``spans`` (byte places) and
-    ``kept_text``, in which characters that were cut are dropped whole.
+    ``kept_text``, in which characters that were cut are dropped whole. ``carry`` names columns that
+    come along as a struct ``row``.
 
     Null texts are empty. A null id comes before all others. Rows of one id are in the order of a
     hash of their text; rows that also have the same text are one document, whose result each of
@@ -362,9 +366,8 @@ def remove_repeats(
     """
     if not OWNER + 2 <= length <= 250:
         raise ValueError(f"length must be from {OWNER + 2} to 250")
-    texts = keyed(docs, id_col, text_col).select(
-        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text"
-    )
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"), *carried(docs, carry))
+    texts = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("text_hash", F.xxhash64("text"))
     rows = texts.select("doc", "text_hash", "text").mapInArrow(_occurrences(length), ROWS_SQL)
     order = ["owner", "symbol", "doc", "text_hash", "at"]
     found = pin(rows.repartition("owner").sortWithinPartitions(*order).mapInArrow(_runs, MARKS_SQL))
@@ -372,7 +375,7 @@ def remove_repeats(
     pieces = texts.join(asked, ["doc", "text_hash"]).select("doc", "text_hash", "text", "asked").mapInArrow(_asked_bytes(length), BYTES_SQL)
     more = pieces.repartition("key").sortWithinPartitions("key", "doc", "text_hash", "at").mapInArrow(_matches(length), MARKS_SQL)
     marks = found.where("n > 0").unionByName(more).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    joined = texts.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text", "marks")
+    joined = texts.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text", "marks", *(["row"] if carry else []))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     schema += ", spans array<struct<start:bigint,end:bigint>>, kept_text string" if keep else ""
-    return joined.mapInArrow(_clean(length, keep), schema)
+    return joined.mapInArrow(_clean(length, keep), with_row(joined, schema))
