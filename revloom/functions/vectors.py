@@ -84,19 +84,28 @@ def sum_normalise(
     return df.where(usable).withColumn(out, divide(vector, total(vector)))
 
 
-def is_finite(vector: Column | str, k: int) -> Column:
-    """True for a vector of ``k`` finite numbers; false for a null one."""
+def of_width(vector: Column | str, k: int) -> Column:
+    """The vector; one of another width than ``k`` ends the job, a null one stays null."""
     v = _col(vector)
-    whole = F.forall(v, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
-    return F.coalesce((F.size(v) == k) & whole, F.lit(False))
+    message = F.format_string("a vector has %d components, not %d", F.size(v), F.lit(k))
+    return F.when(v.isNull() | (F.size(v) == k), v).otherwise(F.raise_error(message).cast("array<double>"))
+
+
+def is_finite(vector: Column | str, k: int) -> Column:
+    """True for a vector of ``k`` finite numbers; false for a null one or one with a null or non-finite number.
+
+    Another width is no bad row but a wrong ``k`` and ends the job.
+    """
+    whole = F.forall(of_width(vector, k), lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    return F.coalesce(whole, F.lit(False))
 
 
 def vector_sums(df: DataFrame, keys: list[str], vector: str, k: int) -> DataFrame:
     """Per-group vector sum and row count: ``(keys, vector, n)``.
 
     One partial and one final hash aggregation over ``k`` double buffers, so a hot group is
-    combined before the shuffle. Vectors should be of width ``k``; null ones are not counted.
+    combined before the shuffle. Null vectors are not counted; another width than ``k`` is an error.
     """
     sums = [F.sum(x).alias(f"__s{i}") for i, x in enumerate(components(vector, k))]
-    grouped = df.groupBy(*keys).agg(F.count(vector).alias("n"), *sums)
+    grouped = df.withColumn(vector, of_width(vector, k)).groupBy(*keys).agg(F.count(vector).alias("n"), *sums)
     return grouped.select(*keys, F.array(*[F.col(f"__s{i}") for i in range(k)]).alias(vector), "n")

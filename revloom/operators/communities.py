@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from revloom.functions.vectors import components, divide, hadamard, total, vector_sums
 from revloom.operators.ordering import number_rows
-from revloom.operators.skew import HotKeys, skew_join
-from revloom.session import pin
+from revloom.operators.skew import SALTS, skew_join
+from revloom.session import pin, unpin
 
 # The affinity of two neighbours is kept above this, so that dividing by it stays finite.
 MIN_AFFINITY = 1e-9
@@ -18,8 +18,9 @@ MIN_AFFINITY = 1e-9
 def members(line: Column | str) -> Column:
     """Numbers of a tab-separated line; what is not a number (such as an empty tail) is left out."""
     c = F.col(line) if isinstance(line, str) else line
-    parts = F.transform(F.split(c, r"\t\s*"), lambda s: F.trim(s).try_cast("double"))
-    return F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: x.cast("bigint"))
+    # Not through double, which has no room for large numbers and knows "nan".
+    parts = F.transform(F.split(c, r"\t\s*"), lambda s: F.trim(s).try_cast("decimal(38,6)").try_cast("bigint"))
+    return F.filter(parts, lambda x: x.isNotNull())
 
 
 def parse_communities(lines: DataFrame, line: str = "value", line_id: str | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def community_arrays(membership: DataFrame) -> DataFrame:
 
 
 def attach_communities(
-    reviews: DataFrame, membership: DataFrame, as_array: bool = False, hot_users: HotKeys = ()
+    reviews: DataFrame, membership: DataFrame, as_array: bool = False, hot_users: DataFrame | None = None
 ) -> DataFrame:
     """Reviews of users in a community: one row per review and community, or an array per review.
 
@@ -77,15 +78,15 @@ def _start(edges: DataFrame, degrees: DataFrame, seeds: list[int]) -> DataFrame:
     return degrees.select("id").join(near, "id", "left").select("id", F.array(*value).alias("f"))
 
 
-def _expected_links(edges: DataFrame, nodes: DataFrame, c: int, hot: HotKeys) -> DataFrame:
+def _expected_links(edges: DataFrame, nodes: DataFrame, c: int, hot: DataFrame) -> DataFrame:
     """``(id, f)``: for every node and community the expected number of links it explains.
 
     A link u-v counts ``f_u * f_v / (1 - exp(-f_u . f_v))`` for each community.
     """
     far = nodes.select(F.col("id").alias("dst"), F.col("f").alias("__fv"))
     near = nodes.select(F.col("id").alias("src"), F.col("f").alias("__fu"))
-    both = skew_join(edges, far, ["dst"], hot, salt_on=["src"])
-    both = skew_join(both, near, ["src"], hot, salt_on=["dst"]).withColumn("__m", hadamard("__fu", "__fv"))
+    both = skew_join(edges, far, ["dst"], hot.withColumnRenamed("id", "dst"), salt_on=["src"])
+    both = skew_join(both, near, ["src"], hot.withColumnRenamed("id", "src"), salt_on=["dst"]).withColumn("__m", hadamard("__fu", "__fv"))
     affinity = F.greatest(total("__m"), F.lit(MIN_AFFINITY))
     # expm1 keeps the small affinities exact.
     links = both.select(F.col("src").alias("id"), divide("__m", -F.expm1(-affinity)).alias("f"))
@@ -100,24 +101,27 @@ def affiliations(
     The affiliation graph model makes two users friends with probability
     ``1 - exp(-f_u . f_v)`` (Yang and Leskovec, WSDM 2013). It is fitted by expectation
     maximisation (as Ball, Karrer and Newman, Phys. Rev. E 2011, do for link counts), which needs
-    no step size. Seeds are the ``c`` nodes with most friends. The most connected nodes are also
-    the hot keys of both joins of a round; both lists come from one degree count. Every round is
-    checkpointed.
+    no step size. Seeds are the ``c`` nodes with most friends. Nodes with more than
+    ``rows_per_task`` friends are the hot keys of both joins of a round. Every round is written to
+    the shared folder and its predecessor deleted.
     """
     edges = pin(undirected(edges))
     degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    # At most max(c, 1000) rows: a node left out has less than a thousandth of the edges.
-    top = degrees.orderBy(F.desc("n"), "id").limit(max(c, 1000)).collect()
-    seeds = [r["id"] for r in top[:c]]
+    degrees = pin(degrees)
+    seeds = [r["id"] for r in degrees.orderBy(F.desc("n"), "id").limit(c).collect()]
     if not seeds:
         raise ValueError("the graph has no edges")
     c = len(seeds)
-    hot = [((r["id"],), -(-r["n"] // rows_per_task)) for r in top if r["n"] > rows_per_task]
+    hot = degrees.where(F.col("n") > rows_per_task)
+    hot = hot.select("id", F.ceil(F.col("n") / rows_per_task).cast("bigint").alias(SALTS))
     size = degrees.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("ends")).first()
     density = size["ends"] / (size["nodes"] * (size["nodes"] - 1))
     nodes = pin(_start(edges, degrees, seeds))
+    spark, links = edges.sparkSession, None
     for _ in range(rounds):
-        links = pin(_expected_links(edges, nodes, c, hot))
+        last, links = links, pin(_expected_links(edges, nodes, c, hot))
+        if last is not None:
+            unpin(spark, last)
         sums = links.agg(*[F.sum(x) for x in components("f", c)]).first()
         weight = F.array(*[F.lit(1.0 / math.sqrt(s) if s else 0.0) for s in sums])
         nodes = links.select("id", hadamard("f", weight).alias("f"))

@@ -12,7 +12,7 @@ from revloom.functions.vectors import (
     sum_normalise,
     vector_sums,
 )
-from revloom.operators.skew import HotKeys, skew_join
+from revloom.operators.skew import skew_join
 
 MODES = ("sumnorm", "l2sum", "mean")
 # How each mode normalises the blended vector.
@@ -49,8 +49,8 @@ def blend(
     business_profiles: DataFrame,
     norm: str | None = "l2",
     min_abs_sum: float = 0.0,
-    hot_users: HotKeys = (),
-    hot_businesses: HotKeys = (),
+    hot_users: DataFrame | None = None,
+    hot_businesses: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``user_features``, ``business_features`` and their normalised product to ``pairs``.
 

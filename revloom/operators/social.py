@@ -9,6 +9,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from revloom.operators.ordering import number_rows
 from revloom.operators.index import apply_dictionary, dense_index
 from revloom.sources.schemas import COMPLIMENTS
 
@@ -102,6 +103,12 @@ def rank_users(profiles: DataFrame, k: int | None = None) -> DataFrame:
     return ranked.limit(k) if k is not None else ranked
 
 
+def number_users(profiles: DataFrame, out: str = "rank") -> DataFrame:
+    """The users with their place in the order of ``rank_users``, from 1: an order that a table keeps."""
+    order = [F.desc("total_compliments"), F.desc("review_count"), F.asc("user_id")]
+    return number_rows(profiles, order, out, start=1)
+
+
 def active_friend_edges(profiles: DataFrame, min_reviews: int) -> DataFrame:
     """Edges of users with more than ``min_reviews`` reviews; the far end is not filtered."""
     return profiles.where(F.col("review_count") > min_reviews).select(

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-from revloom.plans.queries import AS_OF, K, MIN_ABS_SUM, MIN_BUSINESS, MIN_USER, STOP_WORDS
-from revloom.functions.text import DIGITS, PUNCTUATION, TAG, WHITESPACE
-from revloom.sources.schemas import COMPLIMENTS
+from revloom.plans.queries import AS_OF, K, MIN_ABS_SUM, MIN_BUSINESS, MIN_USER
+
+# Fixed values, spelt out here and not taken from the code that this SQL checks.
+TAG = "<[^>]+>"
+PUNCTUATION = r"[!-/:-@\[-\x60{-~]+"
+DIGITS = "[0-9]+"
+WHITESPACE = (
+    r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+STOP_WORDS = "the and of in to is de la le et und der die das que los les".split()
+COMPLIMENTS = [
+    "compliment_writer",
+    "compliment_profile",
+    "compliment_plain",
+    "compliment_photos",
+    "compliment_note",
+    "compliment_more",
+    "compliment_list",
+    "compliment_hot",
+    "compliment_funny",
+    "compliment_cute",
+    "compliment_cool",
+]
 
 LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 REVIEW_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -81,6 +102,16 @@ CLEAN = (
 )
 WORDS = f"list_filter(string_split_regex({CLEAN}, '{WHITESPACE}'), lambda w: w <> '' AND w NOT IN ({STOP}))"
 
+# Words of 10 or more occurrences are known; a vector is zero without one, and both means agree.
+_EMBEDDED = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS words FROM documents),
+occ AS (SELECT doc_id, unnest(words) AS word FROM docs),
+known AS (SELECT word FROM occ GROUP BY word HAVING count(*) >= 10),
+n AS (SELECT doc_id, count(*) AS n FROM occ JOIN known USING (word) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_known, coalesce(n, 0) = 0 AS is_zero,
+       CAST(0 AS DOUBLE) AS gap
+FROM docs LEFT JOIN n USING (doc_id)"""
+
 
 def _profile(key: str, value: str) -> str:
     """Raw or L2 mean per entity and component."""
@@ -109,10 +140,10 @@ SELECT ub.user_id, ub.business_id, round(v0 / s, {digits}) AS first, round(w / s
 FROM ub {guard.replace("p.us", "ub.us").replace("p.bs", "ub.bs") if norm == "sum" else ""}"""
 
 
-# One-feature model inputs: x is the first component, test pairs carry the product of raw means.
+# One-feature model inputs: x is the sum of all components, test pairs carry the product of raw means.
 ONE = f"""{REV},
 one AS (
-  SELECT rev.*, CAST(embedding[1] AS DOUBLE) AS x, {IS_TRAIN} AS is_train
+  SELECT rev.*, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS x, {IS_TRAIN} AS is_train
   FROM rev JOIN embeddings ON vec_id = part_id % (SELECT count(*) FROM embeddings))"""
 
 
@@ -229,7 +260,8 @@ SELECT review_id, round(pr, 9) AS percent_rank, pr <= 0.8 AS is_train FROM r""",
 WITH {REV}, r AS (SELECT review_id, {_rank('date', 'user_id')} AS pr FROM rev)
 SELECT review_id, round(pr, 9) AS percent_rank, pr <= 0.8 AS is_train FROM r""",
         "q21_parse_communities": """
-SELECT DISTINCT o_orderkey AS community_id, unnest([o_custkey, o_orderkey % 997, year(o_orderdate)]) AS user_id
+SELECT DISTINCT o_orderkey AS community_id,
+       unnest([o_custkey, o_orderkey % 997, year(o_orderdate), 9007199254740993]) AS user_id
 FROM orders""",
         "q22_attach_communities": f"""
 WITH {REV}, {MEMBERSHIP}
@@ -266,6 +298,8 @@ WITH {REV}, p AS (
 SELECT nation, count(*) AS n, {metrics['rmse']} AS rmse, {metrics['r2']} AS r2, {metrics['mae']} AS mae
 FROM p GROUP BY nation""",
         "q27_describe": _describe("lineitem", ["l_quantity", "l_extendedprice", "l_discount"]),
+        "q28_word2vec": _EMBEDDED,
+        "q53_embedding_pipeline": _EMBEDDED,
         "q34_doc_mean": f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS words FROM documents),
 occ AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(words) AS word FROM docs) GROUP BY 1, 2),
@@ -275,10 +309,10 @@ known AS (
                      % ((SELECT count(*) FROM embeddings) + 1) AS vec_id
         FROM (SELECT DISTINCT word FROM occ)) w JOIN embeddings USING (vec_id)),
 parts AS (
-  SELECT word, unnest(range(8)) AS pos, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM known),
+  SELECT word, unnest(range({K})) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM known),
 sums AS (
   SELECT doc_id, pos, sum(c * x) AS s FROM occ JOIN parts USING (word) GROUP BY doc_id, pos),
-cells AS (SELECT doc_id, len(words) AS n, unnest(range(8)) AS pos FROM docs)
+cells AS (SELECT doc_id, len(words) AS n, unnest(range({K})) AS pos FROM docs)
 SELECT cells.doc_id, cells.pos, round(coalesce(s, 0) / greatest(n, 1), 6) AS value
 FROM cells LEFT JOIN sums ON sums.doc_id = cells.doc_id AND sums.pos = cells.pos""",
         "q35_model_report": f"""
@@ -286,12 +320,14 @@ WITH {ONE}, model AS (SELECT regr_slope(label, x) AS w, regr_intercept(label, x)
 SELECT 'coefficient' AS parameter, round(w, 6) AS value FROM model
 UNION ALL SELECT 'intercept', round(b, 6) FROM model""",
         "q36_time_split_user": f"""
-WITH r AS (SELECT {REVIEW_ID} AS review_id, {_rank('l_shipdate', 'l_suppkey')} AS pr FROM {LINES})
+WITH r AS (SELECT {REVIEW_ID} AS review_id, {_rank('l_shipdate', 'o_custkey')} AS pr FROM {LINES})
 SELECT review_id, round(pr, 9) AS percent_rank, pr <= 0.8 AS is_train FROM r""",
         "q37_ridge_by_community": f"""
 WITH {REV}, {MEMBERSHIP},
 two AS (
-  SELECT community_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, rev.label AS y
+  SELECT community_id, rev.label AS y,
+         list_sum(list_transform(embedding, lambda v, i: CASE WHEN i % 2 = 1 THEN CAST(v AS DOUBLE) ELSE 0 END)) AS x0,
+         list_sum(list_transform(embedding, lambda v, i: CASE WHEN i % 2 = 0 THEN CAST(v AS DOUBLE) ELSE 0 END)) AS x1
   FROM rev JOIN embeddings ON vec_id = part_id % (SELECT count(*) FROM embeddings)
   JOIN membership USING (user_id) WHERE {IS_TRAIN}),
 m AS (
@@ -304,7 +340,10 @@ SELECT community_id, round(w0, 6) AS w0, round(w1, 6) AS w1, round(my - w0 * m0
 FROM w""",
         "q38_json_scan": f"""
 SELECT {REVIEW_ID} AS review_id, c_name AS user_id, s_name AS business_id, {STARS} AS stars,
-       CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, CAST(round(l_discount * 100) AS BIGINT) AS useful
+       CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,
+       l_returnflag || ' ' || l_linestatus || ' ' || o_orderpriority AS text,
+       CAST(round(l_discount * 100) AS BIGINT) AS useful, CAST(round(l_tax * 100) AS BIGINT) AS funny,
+       CAST(l_linenumber AS BIGINT) AS cool
 FROM {LINES} JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey""",
         "q39_edge_list": f"""
 WITH {USERS} SELECT src, count(*) AS n, CAST(sum(dst) AS BIGINT) AS dst_sum FROM edges GROUP BY src""",
@@ -328,11 +367,13 @@ g AS (SELECT state, avg(lat) AS alat, avg(lon) AS alon FROM b GROUP BY state)
 SELECT s_name AS business_id, idx AS business_id_index, b.state, lon AS longitude
 FROM b JOIN g ON b.state = g.state WHERE sqrt(pow(lat - alat, 2) + pow(lon - alon, 2)) < 20""",
         "q45_rank_users": f"""
-WITH {USERS} SELECT user_id, review_count, {TOTAL} AS total_compliments FROM users""",
+WITH {USERS}, t AS (SELECT user_id, review_count, {TOTAL} AS total_compliments FROM users)
+SELECT *, row_number() OVER (ORDER BY total_compliments DESC, review_count DESC, user_id) AS rank FROM t""",
         "q46_rename": f"SELECT {REVIEW_ID} AS review_id, {STARS} AS label FROM {LINES}",
         "q48_drop_from_array": f"""
 WITH {USERS}
-SELECT user_id, array_to_string(list_transform(list_filter(friends, lambda x: x <> user_id_index),
+SELECT user_id, CAST(CASE WHEN user_id_index % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS named,
+       array_to_string(list_transform(list_filter(friends, lambda x: x <> user_id_index),
          lambda x: 'Customer#' || lpad(CAST(x AS VARCHAR), 9, '0')), ',') AS friends
 FROM users""",
         "q49_community_arrays": f"""
@@ -344,16 +385,19 @@ WITH {LONG},
 u AS ({_profile('user_id', 'x / norm')}), b AS ({_profile('business_id', 'x / norm')}),
 p AS (SELECT DISTINCT user_id, business_id FROM rev),
 prod AS (
-  SELECT p.user_id, p.business_id, sum(u.m * b.m) FILTER (u.pos = 0) AS v0, sqrt(sum((u.m * b.m) ** 2)) AS s
+  SELECT p.user_id, p.business_id, sum((u.pos + 1) * u.m * b.m) AS v, sqrt(sum((u.m * b.m) ** 2)) AS s
   FROM p JOIN u ON u.user_id = p.user_id JOIN b ON b.business_id = p.business_id AND b.pos = u.pos
   GROUP BY p.user_id, p.business_id)
-SELECT review_id, round(x / norm, 6) AS norm_first, round(v0 / s, 6) AS blended_first
-FROM vec JOIN prod ON vec.user_id = prod.user_id AND vec.business_id = prod.business_id WHERE pos = 0""",
+SELECT review_id, round(list_sum(list_transform(embedding, lambda v, i: i * CAST(v AS DOUBLE))) / norm, 5) AS norm_weighted,
+       round(v / s, 5) AS blended_weighted
+FROM rev JOIN emb ON vec_id = part_id % (SELECT count(*) FROM embeddings)
+JOIN prod ON rev.user_id = prod.user_id AND rev.business_id = prod.business_id""",
         "q51_dense_communities": """
 WITH m AS (
-  SELECT DISTINCT o_orderkey, unnest([o_custkey, o_orderkey % 997, year(o_orderdate)]) AS user_id FROM orders),
-c AS (SELECT o_orderkey, count(*) AS size, CAST(sum(user_id) AS BIGINT) AS members FROM m GROUP BY 1)
-SELECT size, members, count(*) AS n FROM c GROUP BY size, members""",
+  SELECT list_sort([o_custkey, o_orderkey % 997, year(o_orderdate), 9007199254740993]) AS m FROM orders),
+c AS (SELECT m, row_number() OVER (ORDER BY md5(array_to_string(m, ','))) AS community_id FROM m)
+SELECT community_id, CAST(len(list_distinct(m)) AS BIGINT) AS size, CAST(list_sum(list_distinct(m)) AS BIGINT) AS members
+FROM c""",
         "q52_weighted_compliments": f"""
 WITH {USERS},
 known AS (SELECT src, count(DISTINCT dst) AS known_friends FROM edges GROUP BY src)

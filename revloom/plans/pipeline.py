@@ -32,8 +32,11 @@ class Pipeline:
 
     def users(self, source: str, as_of: date | str, edge_lists: Sequence[int] = (20, 100)) -> None:
         """``users`` ranked by compliments, all known ``friends`` and the edges of active users."""
-        indexed = social.index_users(sources.read_users(self.spark, source))
-        edges = social.friend_edges(indexed)
+        # Written once: the index, both sides of the edges and the profile read the users again.
+        sources.write_table(social.index_users(sources.read_users(self.spark, source)), self.path("users_indexed"))
+        indexed = self.table("users_indexed")
+        sources.write_table(social.friend_edges(indexed), self.path("friend_edges"))
+        edges = self.table("friend_edges")
         sources.write_edges(edges, self.path("friends"))
         ranked = social.rank_users(social.user_profiles(indexed, edges, as_of))
         sources.write_table(ranked, self.path("users"))
@@ -56,10 +59,13 @@ class Pipeline:
             embed.tokenise_reviews(self.table("reviews"), stop_words=stop_words), self.path("tokens")
         )
 
-    def vectors(self, ks: Sequence[int], min_count: int = 10) -> None:
+    def vectors(
+        self, ks: Sequence[int], min_count: int = 10, partitions: int = embed.PARTITIONS, max_iter: int = 1
+    ) -> None:
+        """``vectors``: reviews embedded in each width; raise the last three with the corpus (``embed.word2vec``)."""
         tokens = self.table("tokens")
         for k in ks:
-            model = embed.fit_word2vec(tokens, embed.word2vec(k, min_count))
+            model = embed.fit_word2vec(tokens, embed.word2vec(k, min_count, partitions, max_iter))
             sources.save_model(model, self.path(f"word2vec_k{k}"))
             rows = embed.arrays(model.transform(tokens), "features").drop("text", "clean_text", "words")
             sources.write_table(rows, self.path(f"vectors/k={k}"))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from revloom.session import spread
+from revloom.functions.vectors import of_width
 from revloom.sources.schemas import COMPLIMENTS
 
 REVIEW_KEY = ["review_id"]
+WIDTH = 64  # numbers of an embedding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def supplier_name(number: Column) -> Column:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    # By the key of the join: a file that cannot be split is one task only up to here.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     orders = table(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -64,10 +66,16 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_vectors(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
-    """Reviews with ``features``: the first ``k`` numbers of an embedding chosen by the part."""
+    """Reviews with ``features``: an embedding chosen by the part.
+
+    All ``WIDTH`` numbers count: for a smaller ``k`` number ``j`` is the sum of those whose place is
+    ``j`` modulo ``k``.
+    """
     embeddings = table(spark, sf_dir, "embeddings")
     size = embeddings.count()
-    wide = embeddings.select("vec_id", F.slice("embedding", 1, k).cast("array<double>").alias("features"))
+    x = of_width(F.col("embedding").cast("array<double>"), WIDTH)
+    bins = [sum(F.get("x", F.lit(i)) for i in range(j, WIDTH, k)) for j in range(k)]
+    wide = embeddings.select("vec_id", x.alias("x")).select("vec_id", (F.array(*bins) if k < WIDTH else F.col("x")).alias("features"))
     keyed = reviews(spark, sf_dir).withColumn("vec_id", F.col("part_id") % F.lit(size))
     return keyed.join(wide, "vec_id").drop("vec_id", "part_id")
 
@@ -180,8 +188,8 @@ def region_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def community_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(line_id, value)``: one short community per order, numbers split by tabs, empty tail."""
-    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    """``(line_id, value)``: one short community per order, numbers split by tabs, a cell that is none, empty tail."""
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
     return o.select(
         F.col("o_orderkey").alias("line_id"),
         F.concat(
@@ -190,10 +198,11 @@ def community_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("o_orderkey") % 997).cast("string"),
             F.lit("\t"),
             F.year("o_orderdate").cast("string"),
-            F.lit(".0\t"),
+            # A number that double cannot hold, and a cell that is none.
+            F.lit(".0\t9007199254740993\tnan\t"),
         ).alias("value"),
     )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")

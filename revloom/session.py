@@ -40,7 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        # "local-cluster" has executors of its own; only "local" and "local[…]" share the driver's disk.
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="revloom-ckpt-")
     sc.setCheckpointDir(configured)
@@ -60,19 +61,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small scan over all cores by ``keys``; leave a large one as it is.
-
-    Files that cannot be split give one task each. Below one full scan split per core a shuffle
-    costs little and lets the work after it run in parallel; above that the scan has tasks enough.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split else df
+def unpin(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete pinned tables that nothing reads any more (a loop's earlier rounds)."""
+    jvm = spark._jvm
+    for table in tables:
+        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

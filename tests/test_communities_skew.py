@@ -21,7 +21,8 @@ def test_attach_communities(spark):
     reviews = spark.createDataFrame([("r1", 1), ("r2", 2), ("r3", 9)], "review_id string, user_id bigint")
     long = com.attach_communities(reviews, member).collect()
     assert sorted((r.review_id, r.community_id) for r in long) == [("r1", 2), ("r1", 5), ("r2", 5)]
-    hot = com.attach_communities(reviews, member, hot_users=[((1,), 4)])
+    users = spark.createDataFrame([(1, 4)], "user_id bigint, __salts bigint")
+    hot = com.attach_communities(reviews, member, hot_users=users)
     assert sorted((r.review_id, r.community_id) for r in hot.collect()) == [("r1", 2), ("r1", 5), ("r2", 5)]
     arrays = com.attach_communities(reviews, member, as_array=True).collect()
     assert {r.review_id: r.community_id_arr for r in arrays} == {"r1": [2, 5], "r2": [5]}
@@ -92,17 +93,37 @@ def test_skew_join_equals_join(spark):
     )
     right = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     hot = hot_keys(left, ["k"], rows_per_task=100)
-    assert [(key, salts) for key, salts in hot] == [((0,), 10), ((1,), 10)]
+    assert sorted(map(tuple, hot.collect())) == [(0, 10), (1, 10)]
     got = skew_join(left, right, ["k"], hot).select("k", "v", "w")
     want = left.join(right, "k").select("k", "v", "w")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert got.count() == want.count() > 2000
 
 
-def test_hot_key_list_is_bounded(spark):
-    df = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert len(hot_keys(df, ["k"], rows_per_task=1, max_keys=5)) == 5
-    assert hot_keys(df, ["k"]) == []
+def test_no_hot_key_is_left_out(spark):
+    df = spark.range(30_000).select((F.col("id") % 3000).alias("k"), "id")
+    hot = hot_keys(df, ["k"], rows_per_task=4)
+    assert hot.count() == 3000 and hot.select("__salts").distinct().collect() == [(3,)]
+    assert skew_join(df, df.select("k").distinct(), ["k"], hot).count() == 30_000
+    assert hot_keys(df, ["k"]).count() == 0
+
+
+def test_members_of_any_size(spark):
+    lines = spark.createDataFrame([("9007199254740993\tnan\t2.0\t1e3\tx\t",)], "value string")
+    assert lines.select(com.members("value")).first()[0] == [9007199254740993, 2, 1000]
+
+
+def test_rounds_leave_no_tables(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from revloom.session import checkpoint_dir
+
+    _, edges = _planted(spark, 3)
+    folder = urlparse(checkpoint_dir(spark)).path
+    count = lambda rounds: (len(os.listdir(folder)), com.detect_communities(edges, 3, rounds=rounds), len(os.listdir(folder)))
+    few, many = ((b - a) for a, _, b in (count(2), count(7)))
+    assert few == many
 
 
 def test_adaptive_execution_splits_a_hot_key(spark):

@@ -2,7 +2,7 @@ import json
 
 from revloom import sources
 from revloom.operators.relational import complete_cases, rename
-from revloom.session import checkpoint_dir, pin, scratch_path, spread
+from revloom.session import checkpoint_dir, pin, scratch_path
 
 REVIEW = {
     "review_id": "r1",
@@ -65,16 +65,6 @@ def test_pin_uses_the_checkpoint_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-def test_small_scans_are_spread_and_large_ones_left(spark):
-    df = spark.range(100)
-    assert spread(df, "id") is not df
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
-    try:
-        assert spread(df, "id") is df
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-
 
 def test_rename_and_complete_cases(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "stars int, v string")
