@@ -6,9 +6,9 @@ number around a circle. Coordinates are cut into bands; documents that share a b
 
 Equal sets form one class before anything is paired. Within a bucket candidates are not paired with
 each other: first all meet the smallest one, the links that hold are contracted to components, and
-only members of still different components meet again (another pivot, then each other). So a
-group of many near copies costs a few pairs for each member, and no link between components is
-left untested.
+only members of still different components meet again (another pivot, then each other, in blocks
+where a bucket has many). So a group of many near copies costs a few pairs for each member that
+joins it early, and no link between components is left untested.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ ROWS, BANDS = 8, 28  # a pair of similarity 0.85 misses all bands with a chance
 PLACES_AT_ONCE = 4096
 SEED = 20
 WORDS_HELD = 400_000
+FEW, BLOCK = 16, 256  # members of a bucket that are paired as rows; members of a block in larger ones
 
 
 class Words(dict):
@@ -93,7 +94,7 @@ class Signer:
 
 
 FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("h", pa.int64()), ("buckets", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("h", pa.int64()), ("buckets", pa.list_(pa.int64()))]
 )
 
 
@@ -105,6 +106,7 @@ def _features(size: int, rows: int, bands: int):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             arrays = [
                 part.column("doc_id"),
+                part.column("text_hash"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([_key(d) if d else None for d in digests], pa.int64()),
@@ -175,9 +177,55 @@ def _open(members: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component, with the bucket's next pivot."""
     order = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"), F.col("comp").alias("comp"))
     pivots = members.groupBy("bucket").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order).alias("pivot")
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order).alias("pivot"), F.count(F.lit(1)).alias("m")
     )
-    return members.join(pivots.where("low <> high").select("bucket", "pivot"), "bucket")
+    return members.join(pivots.where("low <> high").select("bucket", "pivot", "m"), "bucket")
+
+
+def _in_blocks(left: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Links ``(a, b)`` between components in buckets of many members, which are compared in blocks.
+
+    A bucket's members are dealt to blocks of about ``BLOCK`` by a hash, and a group holds two
+    blocks, so no group grows with the bucket and no pairs are written but links.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = left.select("bucket", "node", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("k"))
+    dealt = dealt.select("bucket", "node", "comp", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.join(sets, "node").join(classes.select("node", "buckets"), "node")
+    rows = rows.select(
+        "bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "comp",
+        F.xxhash64("comp").alias("root"), "items", "buckets",
+    )
+    return rows.groupBy("bucket", "i", "j").applyInArrow(_block_links(threshold), f"a {NODE}, b {NODE}").distinct()
+
+
+def _block_links(threshold: int):
+    def run(group: pa.Table) -> pa.Table:
+        bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        k, root = group.column("k").to_numpy(), group.column("root").to_numpy()
+        bands = np.array(group.column("buckets").to_pylist(), dtype=np.int64)
+        items = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("items")]
+        sizes = np.array([len(x) for x in items])
+        xs, ys = [], []
+        for x in np.flatnonzero(k == i):
+            # Partners of another component and of like size, at the first bucket that both share.
+            ok = (root != root[x]) & ((k == j) if i != j else (np.arange(len(k)) > x))
+            ok &= 100 * np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x])
+            y = np.flatnonzero(ok)
+            same = bands[y] == bands[x]
+            y = y[bands[x][same.argmax(axis=1)] == bucket] if len(y) else y
+            for z in y:
+                both = np.concatenate([items[x], items[z]])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= threshold * (len(both) - shared):
+                    xs.append(x)
+                    ys.append(z)
+        comp = group.column("comp").combine_chunks()
+        a, b = (comp.take(pa.array(v, pa.int64())) for v in (xs, ys))
+        return pa.table({"a": a, "b": b})
+
+    return run
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -195,7 +243,7 @@ def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, words: int = 5,
     rows: int = ROWS, bands: int = BANDS,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row.
 
     Documents are linked where ``100 * intersection >= threshold * union`` of their distinct
     ``words``-word shingles (with fewer words, the whole sequence is the one shingle), A-Z being
@@ -207,7 +255,8 @@ def deduplicate(
     ``rows`` and ``bands`` decide how likely a link is found, not which pairs are links.
     """
     texts = keyed(docs, id_col, text_col)
-    features = pin(texts.mapInArrow(_features(words, rows, bands), "doc_id bigint, n_shingles bigint, cls binary, h bigint, buckets array<bigint>"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    features = pin(hashed.mapInArrow(_features(words, rows, bands), "doc_id bigint, text_hash bigint, n_shingles bigint, cls binary, h bigint, buckets array<bigint>"))
     usable = features.where("doc_id is not null and n_shingles > 0")
     classes = pin(
         usable.groupBy("cls", "h").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets")).select(
@@ -233,10 +282,14 @@ def deduplicate(
         F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.comp").alias("ca"), F.col("comp").alias("cb")
     )
     members = _round(star, sets, members, threshold)
-    left = pin(_open(members).select("bucket", "node", "comp"))
-    other = left.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = left.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")).join(other, "bucket").where("ca < cb")
-    members = _round(rest.select("a", "b", "ca", "cb"), sets, members, threshold)
+    left = pin(_open(members).select("bucket", "node", "comp", "m"))
+    few = left.where(F.col("m") <= FEW)
+    other = few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    rest = few.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")).join(other, "bucket").where("ca < cb")
+    pairs = pin(_ordered(rest.select("a", "b", "ca", "cb")).distinct())
+    links = pairs.join(_links(pairs.select("a", "b"), sets, threshold), ["a", "b"], "left_semi")
+    many = _in_blocks(left.where(F.col("m") > FEW), sets, classes, threshold)
+    members = pin(_relabel(members, pin(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(many))))
 
     roots = members.groupBy("node").agg(F.min("comp").alias("comp"))
     found = classes.join(roots, "node", "left").select("cls", F.coalesce("comp.id", "node.id").alias("component"))
@@ -245,4 +298,5 @@ def deduplicate(
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
+        "text_hash",
     )
