@@ -9,6 +9,10 @@ from pyspark.sql.types import DateType
 
 from revloom.functions.hashing import bucket
 from revloom.operators.ordering import running_total
+from revloom.session import pin
+
+# Dates whose ranks are sent to all workers: more than ten thousand years have none.
+MAX_DATES = 4_000_000
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], train: float = 0.8, seed: int = 12345) -> DataFrame:
@@ -56,4 +60,9 @@ def chronological_split(
     keys = [by, order_by] if by else [order_by]
     whole = df.na.drop(subset=keys)
     ranks = percent_ranks(whole, order_by, by, partitions)
+    if by is None and isinstance(df.schema[order_by].dataType, DateType):
+        # One row per date, so reviews need no shuffle; written first, so that the count costs no second pass.
+        ranks = pin(ranks)
+        if ranks.count() <= MAX_DATES:
+            ranks = F.broadcast(ranks)
     return whole.join(ranks, keys).withColumn("is_train", F.col("percent_rank") <= train)

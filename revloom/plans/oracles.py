@@ -300,6 +300,16 @@ FROM p GROUP BY nation""",
         "q27_describe": _describe("lineitem", ["l_quantity", "l_extendedprice", "l_discount"]),
         "q28_word2vec": _EMBEDDED,
         "q53_embedding_pipeline": _EMBEDDED,
+        "q57_embed_reviews": _EMBEDDED,
+        "q54_forest_report": f"""
+SELECT parameter, CAST(n AS BIGINT) AS n, CAST(total AS DOUBLE) AS total, text
+FROM (VALUES ('feature_importance', {K}, 1, NULL), ('tree_weight', 5, 5, NULL), ('maxDepth', 1, 4, NULL),
+             ('numTrees', 1, 5, NULL), ('impurity', 1, NULL, 'variance')) t(parameter, n, total, text)
+WHERE EXISTS (SELECT 1 FROM lineitem)""",
+        "q55_partitioned_table": f"""
+WITH {REV} SELECT label, count(*) AS n, CAST(sum(part_id) AS BIGINT) AS parts FROM rev WHERE label > 2 GROUP BY label""",
+        "q56_ingest_partitions": f"""
+SELECT {STARS} AS stars, count(*) AS n, CAST(7 AS BIGINT) AS parts FROM {LINES} GROUP BY 1""",
         "q34_doc_mean": f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS words FROM documents),
 occ AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(words) AS word FROM docs) GROUP BY 1, 2),

@@ -51,7 +51,7 @@ class Pipeline:
     def reviews(self, source: str, min_user: int = 100, min_business: int = 100, multi_line: bool = False) -> None:
         raw = sources.read_reviews(self.spark, source, multi_line=multi_line)
         rows = enrich_reviews(raw, self.table("users"), self.table("businesses"), min_user, min_business)
-        sources.write_table(rows.withColumn("date", F.col("date").cast("date")), self.path("reviews"))
+        sources.write_table(rows.withColumn("date", F.col("date").try_cast("date")), self.path("reviews"))
 
     def tokens(self, stop_words: Sequence[str] | None = None) -> None:
         """``tokens``: reviews with ``clean_text`` and ``words``, made once for all widths."""

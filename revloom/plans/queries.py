@@ -296,6 +296,49 @@ def q27_describe(spark, sf_dir):
     return _rounded(evaluate.describe(roles.table(spark, sf_dir, "lineitem"), cols), 4, "value")
 
 
+@query
+def q54_forest_report(spark, sf_dir):
+    """What a forest's report adds up to: importances, tree weights, parameters."""
+    train = _split_vectors(spark, sf_dir, K).where("is_train")
+    model = regression.fit(train, regression.random_forest(5, 4), K)
+    rows = regression.model_report(spark, model, "rf")
+    named = rows.where(F.col("parameter").isin("feature_importance", "tree_weight", "maxDepth", "numTrees", "impurity"))
+    return named.groupBy("parameter").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("text").alias("text")
+    )
+
+
+@query
+def q55_partitioned_table(spark, sf_dir):
+    """A table written by label and read back through its partitions, twice over the same folder."""
+    path = scratch_path(spark, "by-label")
+    reviews = roles.reviews(spark, sf_dir)
+    sources.write_table(reviews, path, ["label"])
+    sources.write_table(reviews, path, ["label"])
+    rows = sources.read_table(spark, path).where(F.col("label") > 2)
+    return rows.groupBy(F.col("label").cast("bigint").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("part_id").alias("parts")
+    )
+
+
+@query
+def q56_ingest_partitions(spark, sf_dir):
+    """Reviews spread on ingest: the same rows in as many parts as asked for."""
+    path = scratch_path(spark, "reviews-json")
+    roles.raw_reviews(spark, sf_dir).write.json(path)
+    rows = sources.read_reviews(spark, path, partitions=7)
+    parts = rows.groupBy(F.spark_partition_id().alias("part"), "stars").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("stars").agg(F.sum("n").alias("n"), F.countDistinct("part").alias("parts"))
+
+
+@query
+def q57_embed_reviews(spark, sf_dir):
+    """The whole way from text to vectors."""
+    docs = roles.documents(spark, sf_dir)
+    embedded, model = embed.embed_reviews(docs, 16, "text", STOP_WORDS)
+    return _embedded(embedded, model, embedded, 16)
+
+
 def _embedded(tokens: DataFrame, model, embedded: DataFrame, k: int) -> DataFrame:
     """What can be said of trained vectors beforehand.
 

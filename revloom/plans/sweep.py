@@ -39,25 +39,36 @@ def sweep(
     are many: the loop is over settings, each of which is a distributed job, and three numbers per
     setting come back.
     """
+    if not ks:
+        raise ValueError("ks is empty")
     rows: list[tuple] = []
     for k in ks:
         reviews = vectors(k).persist(StorageLevel.MEMORY_AND_DISK)
-        # The blend does not depend on the model or the communities.
-        blended = pin(blended_test(reviews, mode, k).select(*BLENDED))
-        for c, membership in memberships.items():
-            for name, estimator in models.items():
-                if membership is None:
-                    chosen = linear_regression(reg_param) if estimator == RIDGE else estimator
-                    scored, _ = fit_predict(reviews, chosen, k, mode, blended=blended)
-                elif estimator == RIDGE:
-                    scored, _ = fit_predict_by_community(
-                        reviews, membership, k, reg_param, mode, blended=blended
-                    )
-                else:
-                    scored, _ = fit_estimator_by_community(
-                        reviews, membership, estimator, k, mode, blended=blended
-                    )
-                    scored = sum_pairs(scored)
-                rows += [tuple(r) for r in evaluate(scored, run_id, k, c, name).collect()]
-        reviews.unpersist()
-    return blended.sparkSession.createDataFrame(rows, METRIC_ROW)
+        try:
+            rows += _settings(reviews, memberships, k, models, mode, reg_param, run_id)
+        finally:
+            reviews.unpersist()
+    return reviews.sparkSession.createDataFrame(rows, METRIC_ROW)
+
+
+def _settings(reviews, memberships, k, models, mode, reg_param, run_id) -> list[tuple]:
+    """Metric rows of all models and communities for one width."""
+    rows: list[tuple] = []
+    # The blend does not depend on the model or the communities.
+    blended = pin(blended_test(reviews, mode, k).select(*BLENDED))
+    for c, membership in memberships.items():
+        for name, estimator in models.items():
+            if membership is None:
+                chosen = linear_regression(reg_param) if estimator == RIDGE else estimator
+                scored, _ = fit_predict(reviews, chosen, k, mode, blended=blended)
+            elif estimator == RIDGE:
+                scored, _ = fit_predict_by_community(
+                    reviews, membership, k, reg_param, mode, blended=blended
+                )
+            else:
+                scored, _ = fit_estimator_by_community(
+                    reviews, membership, estimator, k, mode, blended=blended
+                )
+                scored = sum_pairs(scored)
+            rows += [tuple(r) for r in evaluate(scored, run_id, k, c, name).collect()]
+    return rows

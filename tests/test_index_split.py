@@ -68,3 +68,12 @@ def test_chronological_split_equals_percent_rank(spark):
             got = chronological_split(df, "t", by, partitions=3).collect()
             assert {r.id: r.percent_rank for r in got} == want
             assert all(r.is_train == (r.percent_rank <= 0.8) for r in got)
+
+
+def test_global_date_split_does_not_shuffle_the_rows(spark):
+    """Ranks of dates are broadcast; only their counts are shuffled."""
+    df = spark.range(1000).select(F.col("id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("date"))
+    out = chronological_split(df, "date")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert out.where("is_train").count() == 800
