@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.ml import Estimator
+from pyspark.ml.util import MLReadable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revloom import sources
 from revloom.operators import communities, embed, geo, profiles, regression, social, split
+from revloom.operators.evaluate import describe
 from revloom.operators.reviews import enrich_reviews
 from revloom.plans.sweep import sweep
 
@@ -105,19 +107,51 @@ class Pipeline:
         mode: str = "l2sum",
         by: str = "hash",
         run_id: str = "run",
+        profile_from: str = "all",
+        reg_param: float = 0.01,
     ) -> DataFrame:
-        """Metrics of all settings, also added to the ``metrics`` log. ``None`` in ``cs`` is the global model."""
+        """Metrics of all settings, also added to the ``metrics`` log. ``None`` in ``cs`` is the global model.
+
+        The pair sums of every setting stay in ``predictions`` (partitioned by run, ``k``, ``c`` and
+        model; ``c`` is 0 for the global model) and are described in a CSV of ``summaries``.
+        ``profile_from="train"`` keeps test reviews out of the profiles.
+        """
+
+        def keep(scored: DataFrame, k: int, c: int | None, name: str) -> DataFrame:
+            place = f"run_id={run_id}/k={k}/c={c or 0}/model={name}"
+            path = self.path(f"predictions/{place}")
+            sources.write_table(scored, path)
+            scored = sources.read_table(self.spark, path)
+            sources.write_summary(describe(scored, ["label", "prediction", "num_of_reviews"]), self.path(f"summaries/{place}"))
+            return scored
+
         rows = sweep(
             lambda k: self.split_vectors(k, by),
             {c: self.membership(c) if c is not None else None for c in cs},
             ks,
             models,
             mode,
-            run_id=run_id,
+            reg_param,
+            run_id,
+            profile_from,
+            keep,
         )
         sources.append_metrics(rows, self.path("metrics"))
         return rows
 
+    def save_global(self, k: int, estimator: Estimator, name: str, mode: str = "l2sum", by: str = "hash") -> None:
+        """Fit the global model, save it as ``models/{name}_k{k}`` and add its report to ``model_reports``."""
+        model = regression.fit(regression.training_rows(self.split_vectors(k, by), mode), estimator, k)
+        sources.save_model(getattr(model, "bestModel", model), self.path(f"models/{name}_k{k}"))
+        sources.append_metrics(regression.model_report(self.spark, model, f"{name}_k{k}"), self.path("model_reports"))
+
+    def score_global(
+        self, k: int, model_class: type[MLReadable], name: str, mode: str = "l2sum", by: str = "hash", profile_from: str = "all"
+    ) -> DataFrame:
+        """Pair sums of the test reviews by a model that ``save_global`` has saved."""
+        model = sources.load_model(model_class, self.path(f"models/{name}_k{k}"))
+        return regression.score_pairs(regression.blended_test(self.split_vectors(k, by), mode, k, profile_from), model)
+
     def save_models(self, k: int, c: int, estimator: Estimator, mode: str = "l2sum") -> list[int]:
         """One saved model and report per community; gives the communities that have one."""
         vectors = self.split_vectors(k)

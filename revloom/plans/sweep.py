@@ -30,6 +30,8 @@ def sweep(
     mode: str = "l2sum",
     reg_param: float = 0.01,
     run_id: str = "sweep",
+    profile_from: str = "all",
+    keep: Callable[[DataFrame, int, int | None, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Metric rows ``(run_id, k, c, model, metric, value)`` for every setting.
 
@@ -37,7 +39,8 @@ def sweep(
     ``(user_id, community_id)``; ``None`` stands for the global model. A model is an estimator, or
     ``RIDGE`` for linear models, which take one pass for all communities. Settings are few, rows
     are many: the loop is over settings, each of which is a distributed job, and three numbers per
-    setting come back.
+    setting come back. ``keep`` gets the pair sums of every setting with ``k``, ``c`` and the model's
+    name, may write them, and gives back what is evaluated.
     """
     if not ks:
         raise ValueError("ks is empty")
@@ -45,17 +48,17 @@ def sweep(
     for k in ks:
         reviews = vectors(k).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            rows += _settings(reviews, memberships, k, models, mode, reg_param, run_id)
+            rows += _settings(reviews, memberships, k, models, mode, reg_param, run_id, profile_from, keep)
         finally:
             reviews.unpersist()
     return reviews.sparkSession.createDataFrame(rows, METRIC_ROW)
 
 
-def _settings(reviews, memberships, k, models, mode, reg_param, run_id) -> list[tuple]:
+def _settings(reviews, memberships, k, models, mode, reg_param, run_id, profile_from, keep) -> list[tuple]:
     """Metric rows of all models and communities for one width."""
     rows: list[tuple] = []
     # The blend does not depend on the model or the communities.
-    blended = pin(blended_test(reviews, mode, k).select(*BLENDED))
+    blended = pin(blended_test(reviews, mode, k, profile_from).select(*BLENDED))
     for c, membership in memberships.items():
         for name, estimator in models.items():
             if membership is None:
@@ -70,5 +73,7 @@ def _settings(reviews, memberships, k, models, mode, reg_param, run_id) -> list[
                     reviews, membership, estimator, k, mode, blended=blended
                 )
                 scored = sum_pairs(scored)
+            if keep is not None:
+                scored = keep(scored, k, c, name)
             rows += [tuple(r) for r in evaluate(scored, run_id, k, c, name).collect()]
     return rows

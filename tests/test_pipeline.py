@@ -3,8 +3,10 @@
 import json
 import random
 
+from pyspark.ml.regression import LinearRegressionModel
+
 from revloom import Pipeline
-from revloom.operators.regression import random_forest
+from revloom.operators.regression import linear_regression, random_forest
 from revloom.plans.sweep import RIDGE
 from revloom.sources.schemas import COMPLIMENTS
 
@@ -90,4 +92,20 @@ def test_pipeline(spark, tmp_path):
     assert run.membership(9).count() == 29 and run.membership(2).count() > 0
     metrics = run.experiment([4], [None, 9], {"linear": RIDGE}, by="user_date").collect()
     assert len(metrics) == 6 and run.table("metrics").count() == 6
+    kept = run.table("predictions")
+    assert {(r.run_id, r.k, r.c, r.model) for r in kept.select("run_id", "k", "c", "model").distinct().collect()} == {
+        ("run", 4, 0, "linear"), ("run", 4, 9, "linear")
+    }
+    summary = spark.read.option("header", True).csv(str(tmp_path / "out/summaries/run_id=run/k=4/c=0/model=linear"))
+    assert summary.count() == 15
+    honest = run.experiment([4], [None], {"linear": RIDGE}, by="user_date", run_id="honest", profile_from="train").collect()
+    assert len(honest) == 3 and run.table("metrics").count() == 9
+    run.save_global(4, linear_regression(), "lr", by="user_date")
+    scored = run.score_global(4, LinearRegressionModel, "lr", by="user_date")
+    want = kept.where("run_id = 'run' and c = 0").select(*scored.columns)
+    assert scored.count() == want.count() > 50
+    both = scored.alias("a").join(want.alias("b"), ["user_id", "business_id"])
+    assert both.where("abs(a.prediction - b.prediction) > 1e-6").isEmpty() and both.count() == want.count()
+    assert run.table("model_reports").where("run_id = 'lr_k4' and parameter = 'coefficient'").count() == 4
     assert run.save_models(4, 9, random_forest(2, 2)) == [1, 2]
+    assert run.table("model_reports").where("text = 'variance'").count() == 2
