@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each with its path of tags and classes from the root. Per path
-the length of its text and its punctuation are added up and divided by the path's nodes. Both
-ratios are smoothed over the paths in page order, multiplied (fused), and paths whose fused ratio
-reaches a share of the page's spread are content. Paths with an element that names boilerplate
-(menus, headers, footers, adverts, forms, comments, ...) have no ratio at all, and paths in an
-``article`` or ``main`` element outweigh all others. The content of a page is what stands in the
-container of its content paths, short headings and paragraphs included, without its boilerplate.
+A page is read once into text nodes, each in a block (the innermost element that is not inline) with
+its path of tags and classes from the root. Per path the length of the text outside links and its
+punctuation are added up and divided by the path's blocks. Both ratios are smoothed over the paths in
+page order and multiplied (fused); paths in an ``article`` or ``main`` element weigh more. This is
+done on every page. A path is content where it has such text and its fused ratio reaches a share of
+the page's spread. Of the other paths only what bridges content stays, and no lists of links: blocks
+that are headings, items, cells or the like in the very container that content stands in, and
+headings right before content. Elements that name boilerplate (menus, headers, footers, adverts,
+forms, comments, ...) are left out beforehand.
 """
 
 from __future__ import annotations
@@ -58,9 +60,11 @@ ENDS_PARAGRAPH = set(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
     "menu nav ol p pre section table ul".split()
 )
-CONTAINERS = {"div", "section", "td", "center", "body", "html", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CONTAINERS = {"div", "section", "center", "body", "html", "article", "main", ""}
 KERNEL = 1  # paths to each side that a ratio is smoothed over
 SHARE = 0.5  # of the standard deviation that a content path reaches
+WEIGHT = 2.0  # of paths in an article or main element
 
 
 @dataclass(slots=True)
@@ -71,6 +75,25 @@ class Element:
     parent: Element | None
     dropped: bool
     content: bool
+    link: bool = False
+
+    @property
+    def block(self) -> Element:
+        """The innermost element around it that is not inline."""
+        e = self
+        while e.parent is not None and e.tag in INLINE:
+            e = e.parent
+        return e
+
+
+@dataclass(slots=True)
+class Block:
+    """What stands in one element: characters outside and inside of links, and punctuation outside."""
+
+    element: Element
+    own: int = 0
+    linked: int = 0
+    marks: int = 0
 
 
 @dataclass(slots=True)
@@ -159,27 +182,55 @@ def read_page(source: str) -> Page:
         count += 1
         kind = tag + "".join(f".{c}" for c in attrs.get("class", "").split())
         top = Element(
-            tag, count, f"{top.path}/{kind}", top, top.dropped or _is_dropped(tag, attrs, top), top.content or tag in CONTENT
-        )
+            tag, count, f"{top.path}/{kind}", top, top.dropped or _is_dropped(tag, attrs, top), top.content or tag in CONTENT,
+            top.link or tag == "a",
+        )
     return page
 
 
-def _path_scores(nodes: list[tuple[str, Element, bool]]) -> dict[str, float]:
-    """Fused, smoothed ratio of every path."""
+def _blocks(nodes: list[tuple[str, Element, bool]]) -> dict[int, Block]:
+    """Blocks by the number of their element, in page order."""
+    blocks: dict[int, Block] = {}
+    for text, element, _ in nodes:
+        own = element.block
+        block = blocks.get(own.number) or blocks.setdefault(own.number, Block(own))
+        n = len(text.strip())
+        if element.link:
+            block.linked += n
+        else:
+            block.own += n
+            block.marks += len(PUNCTUATION.findall(text))
+    return blocks
+
+
+def _path_scores(blocks: dict[int, Block]) -> dict[str, float]:
+    """Fused, smoothed and weighted ratio of every path."""
     length: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
     count: dict[str, int] = defaultdict(int)
-    for text, element, _ in nodes:
-        n = len(text.strip())
-        if n:
-            # Text of links says little about its path.
-            length[element.path] += 0 if "/a" in re.findall(r"/\w+", element.path) else n
-            marks[element.path] += len(PUNCTUATION.findall(text))
-            count[element.path] += 1
+    weight: dict[str, float] = {}
+    for block in blocks.values():
+        path = block.element.path
+        length[path] += block.own
+        marks[path] += block.marks
+        count[path] += 1
+        weight[path] = WEIGHT if block.element.content else 1.0
     paths = list(count)  # in page order
     text_ratio = _smooth([length[p] / count[p] for p in paths])
     mark_ratio = _smooth([marks[p] / count[p] for p in paths])
-    return {p: t * (1.0 + m) for p, t, m in zip(paths, text_ratio, mark_ratio)}
+    return {p: weight[p] * t * (1.0 + m) for p, t, m in zip(paths, text_ratio, mark_ratio)}
+
+
+def _content_paths(blocks: dict[int, Block]) -> set[str]:
+    """Paths with text outside links whose score reaches the threshold; all paths where links are all there is."""
+    scores = _path_scores(blocks)
+    worded = {b.element.path for b in blocks.values() if b.own}
+    if not worded:
+        return set(scores)
+    mean = sum(scores.values()) / len(scores)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
+    least = min(SHARE * spread, max(scores[p] for p in worded))
+    return {p for p in worded if scores[p] >= least}
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -192,29 +243,37 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def _ancestors(element: Element) -> list[Element]:
-    out = []
-    while element.parent is not None:
-        out.append(element)
-        element = element.parent
-    return out[::-1]
-
-
-def _container(nodes: list[tuple[str, Element, bool]], chosen: set[str]) -> int:
-    """The innermost element that holds all but a sliver of the content paths' text."""
-    held: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    total = 0
-    for text, element, _ in nodes:
-        if element.path in chosen:
-            n = len(text.strip())
-            total += n
-            for k, a in enumerate(_ancestors(element)):
-                if a.tag in CONTAINERS:
-                    held[a.number] += n
-                    depth[a.number] = k
-    full = [a for a, n in held.items() if n >= 0.95 * total]
-    return max(full, key=lambda a: depth[a]) if full else 0
+def _kept(blocks: dict[int, Block]) -> set[int]:
+    """Numbers of the blocks of content paths and of those that bridge them."""
+    chosen = _content_paths(blocks)
+    kept = {k for k, b in blocks.items() if b.element.path in chosen}
+    around: set[int] = set()  # every element that holds content
+    places: set[int] = set()  # the containers that content stands in
+    for k in kept:
+        e, placed = blocks[k].element, False
+        while e is not None and not (placed and e.number in around):
+            around.add(e.number)
+            if not placed and (e.tag in CONTAINERS or e.tag == "td"):
+                places.add(e.number)
+                placed = True
+            e = e.parent
+    bridges: set[int] = set()
+    heads = False  # what follows is content
+    for k in reversed(blocks):
+        if k in kept:
+            heads = True
+            continue
+        block = blocks[k]
+        e = block.element
+        heading = e.tag in HEADINGS
+        if block.linked <= block.own:
+            # Cells of a table without content of its own are part of what is around it.
+            while e.tag not in CONTAINERS and e.number not in around:
+                e = e.parent
+            if e.number in places or (heading and heads):
+                bridges.add(k)
+        heads = heads and heading
+    return kept | bridges
 
 
 def main_text(source: str | None) -> str:
@@ -225,20 +284,11 @@ def main_text(source: str | None) -> str:
     usable = [x for x in nodes if not x[1].dropped and x[0].strip()]
     if not usable:
         return ""
-    inside = [x for x in usable if x[1].content]
-    if inside:
-        kept = {id(x[1]) for x in inside}
-    else:
-        scores = _path_scores(usable)
-        mean = sum(scores.values()) / len(scores)
-        spread = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
-        chosen = {p for p, v in scores.items() if v >= min(SHARE * spread, max(scores.values()))}
-        box = _container(usable, chosen)
-        kept = {id(e) for _, e, _ in usable if box == 0 or any(a.number == box for a in _ancestors(e))}
+    kept = _kept(_blocks(usable))
     out, gap = [], False
     for text, element, starts in nodes:
         gap = gap or starts
-        if id(element) in kept:
+        if not element.dropped and element.block.number in kept:
             out.append(f"\n{text}" if gap else text)
             gap = False
     return " ".join("".join(out).split())

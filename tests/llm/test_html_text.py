@@ -56,6 +56,29 @@ def test_small_pages(source, want):
     assert html_text.main_text(source) == want
 
 
+CARD = "<article class=card><h3>Other</h3><p>See it.</p></article>"
+LINKS = "<ul><li><a href=/1>First page, of many.</a><li><a href=/2>Second page, of many.</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        # A card beside the text takes nothing from it.
+        (f"<div class=story><h1>Head</h1><p>{LONG}</p><p>Short.</p></div>{CARD}", f"Head {LONG.strip()} Short."),
+        # Lists of links are no content in an article either; links in sentences are.
+        (f"<main><h1>Head</h1><p>{LONG}<a href=/>a link</a> on.</p>{LINKS}</main>", f"Head {LONG}a link on."),
+        # The threshold decides within a container, too.
+        (f"<div class=all><div class=text><p>{LONG}</p></div><div class=line>12 views</div><div class=text><p>{LONG}</p></div></div>", f"{LONG}{LONG.strip()}"),
+        (f"<main><div class=text><p>{LONG}</p></div><div class=line>12 views</div></main>", LONG.strip()),
+        # Headings with a container of their own, and cells, bridge.
+        (f"<div><div class=top><h1>Head</h1></div><div class=text><p>{LONG}</p><table><tr><td>1<td>2</table></div></div>", f"Head {LONG}1 2"),
+        (f"<table><tr><td>12 views<td><p>{LONG}</p><h2>More</h2><p>{LONG}</p></table>", f"{LONG}More {LONG.strip()}"),
+    ],
+)
+def test_ratios_decide_on_every_page(source, want):
+    assert html_text.main_text(source) == want
+
+
 def test_long_and_broken_pages():
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     assert html_text.main_text(deep) == "deep"
