@@ -2,11 +2,13 @@
 
 Equal vectors are one class. Random hyperplanes put vectors into cells, in which each finds its
 first neighbours; then every vector introduces its neighbours (and those that have it as one) to
-each other, and lists keep the best of what they meet. Neighbours that reach the threshold are
-links. Where a list is saturated with links, there may be more than it holds: the links' components
-take the place of the list, and all their members are compared in blocks, of which only counts are
-kept. A brute-force audit of some vectors against all measures the recall; while it is too low,
-the search goes on from new cells.
+each other, and lists keep the best of what they meet. All members of a cell or of an introduction
+meet, large ones in blocks. What meets and reaches the threshold is linked for good: of the links of
+a block as many are kept as join the same vectors. A list has places for neighbours of the vector's
+own component and as many for others, so that a group of any size leaves room for what is beyond it.
+All members of a component are compared in blocks, of which only counts are kept. A brute-force audit
+of some vectors against all measures the recall; while it is too low, the search goes on from new
+cells, and in the end the job fails.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revloom.llm.graph import components
 from revloom.session import pin
 
 NEIGHBOURS = 12
-MEETING = 48  # vectors that meet at one place
 TABLES, ROUNDS = 4, 2
 CELL, BLOCK = 64, 512
 AUDITED = 200  # vectors compared with all others
 RECALL, ATTEMPTS = 0.98, 4
-EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("cos", pa.float64())])
-EDGES_SQL = "src bigint, dst bigint, cos double"
+OUTSIDE, INSIDE, LINK = 0, 1, 2  # neighbours of another component, of the own one, and links to be kept
+EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("cos", pa.float64()), ("kind", pa.int8())])
+EDGES_SQL = "src bigint, dst bigint, cos double, kind tinyint"
 
 
 def _unit(data: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -69,67 +71,129 @@ def _cells(seed: int, bits: int):
     return run
 
 
-def _meet(neighbours: int):
-    """Best neighbours of every member of a group among the other members, as far as they are news."""
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join what the links ``near`` (rows by columns, numbered one after the other) join."""
+    m = near.shape[0]
+    first, other = [], []
+    left = near.any(axis=1)
+    while left.any():
+        start = int(np.argmax(left))
+        seen, across = np.zeros(m, dtype=bool), np.zeros(near.shape[1], dtype=bool)
+        front = np.array([start])
+        seen[start] = True
+        while len(front):
+            columns = near[front].any(axis=0) & ~across
+            across |= columns
+            front = np.flatnonzero(near[:, columns].any(axis=1) & ~seen)
+            seen[front] = True
+        left &= ~seen
+        ends = np.concatenate([np.flatnonzero(seen), m + np.flatnonzero(across)])
+        first.append(np.full(len(ends), start))
+        other.append(ends)
+    return (np.concatenate(first), np.concatenate(other)) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _meet(neighbours: int, threshold: float):
+    """Links of two blocks of a group, and each member's best neighbours in the other, as far as they are news."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, worst = group.column("id").to_numpy(), group.column("worst").to_numpy()
+        ids, root, k = (group.column(c).to_numpy() for c in ("id", "root", "k"))
+        least = {INSIDE: group.column("least_in").to_numpy(), OUTSIDE: group.column("least_out").to_numpy()}
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         widths = pc.binary_length(group.column("data")).to_numpy()
-        src, dst, cos = [], [], []
+        out = []
+
+        def add(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, kind: int) -> None:
+            out.append((src, dst, cos, np.full(len(src), kind)))
+
         for width in np.unique(widths):
             rows = np.flatnonzero(widths == width)
-            if len(rows) < 2:
+            a, b = rows[k[rows] == i], rows[k[rows] == j]
+            if not len(a) or not len(b) or len(rows) < 2:
                 continue
-            x = _unit(group.column("data").take(pa.array(rows)))
-            sim = x @ x.T
-            np.fill_diagonal(sim, -2.0)
-            k = min(neighbours, len(rows) - 1)
-            best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            value = np.take_along_axis(sim, best, axis=1)
-            news = value > worst[rows][:, None]
-            src.append(np.repeat(ids[rows], k)[news.ravel()])
-            dst.append(ids[rows][best][news])
-            cos.append(value[news])
-        joined = [np.concatenate(x) if x else np.empty(0) for x in (src, dst, cos)]
-        return pa.table([pa.array(c.astype(t)) for c, t in zip(joined, (np.int64, np.int64, np.float64))], schema=EDGES)
+            x = _unit(group.column("data").take(pa.array(a)))
+            y = x if i == j else _unit(group.column("data").take(pa.array(b)))
+            sim = x @ y.T
+            if i == j:
+                np.fill_diagonal(sim, -2.0)
+            near = sim >= threshold
+            same = near | (root[a][:, None] == root[b][None, :])
+            both = np.concatenate([a, b])
+            p, q = (both[e] for e in _forest(near))
+            fresh = root[p] != root[q]
+            add(ids[p][fresh], ids[q][fresh], np.ones(fresh.sum()), LINK)
+            for one, two, cos, own in [(a, b, sim, same)] + ([(b, a, sim.T, same.T)] if i != j else []):
+                n = min(neighbours, len(two))
+                for kind, part in ((INSIDE, own), (OUTSIDE, ~own)):
+                    some = np.flatnonzero(part.any(axis=1))
+                    if not len(some):
+                        continue
+                    value = np.where(part[some], cos[some], -2.0)
+                    best = np.argpartition(-value, n - 1, axis=1)[:, :n]
+                    value = np.take_along_axis(value, best, axis=1)
+                    news = value > least[kind][one[some]][:, None]
+                    add(np.repeat(ids[one[some]], n)[news.ravel()], ids[two][best][news], value[news], kind)
+        joined = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 4
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(joined, (np.int64, np.int64, np.float64, np.int8))], schema=EDGES)
 
     return run
 
 
-def _in_groups(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, part, id, data, worst)`` of groups of about ``MEETING`` rows at most: larger ones are dealt by a hash."""
+def _blocks_of(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of every pair of blocks ``(key, i, j, k, ...)`` of groups ``key``: a group of up to ``BLOCK`` rows is one block."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / MEETING).cast("int")
-    return rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("id", key), parts).cast("int"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = rows.join(sizes, key).withColumn("blocks", blocks).withColumn("k", F.pmod(F.xxhash64("id", key), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("*", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).drop("m", "blocks", "other")
 
 
 def _best(edges: DataFrame, neighbours: int) -> DataFrame:
-    once = edges.groupBy("src", "dst").agg(F.max("cos").alias("cos"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst"))
+    once = edges.where(F.col("kind") != LINK).groupBy("src", "dst").agg(F.max("cos").alias("cos"), F.max("kind").alias("kind"))
+    place = F.row_number().over(Window.partitionBy("src", "kind").orderBy(F.desc("cos"), "dst"))
     return pin(once.withColumn("place", place).where(F.col("place") <= neighbours).drop("place"))
 
 
-def _start(vectors: DataFrame, n: int, seed: int, neighbours: int) -> DataFrame:
-    bits = max(1, round(math.log2(max(2, n / CELL))))
+def _rooted(vectors: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(id, data, root)``: the component as far as it is known, else the vector itself."""
+    if roots is None:
+        return vectors.withColumn("root", F.col("id"))
+    known = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    return known.select("id", "data", F.coalesce("root", "id").alias("root"))
+
+
+def _start(vectors: DataFrame, roots: DataFrame | None, n: int, seed: int, neighbours: int, threshold: float) -> DataFrame:
+    """What is met in the cells of one set of hyperplanes."""
+    bits = max(1, round(math.log2(max(2, n / CELL)))) if n > BLOCK else 0
     celled = vectors.mapInArrow(_cells(seed, bits), "id bigint, data binary, cells array<bigint>")
-    rows = celled.select("id", "data", F.lit(-2.0).alias("worst"), F.explode("cells").alias("cell"))
-    groups = _in_groups(rows, "cell").groupBy("cell", "part")
-    return _best(groups.applyInArrow(_meet(neighbours), EDGES_SQL), neighbours)
+    rows = celled.select("id", F.explode("cells").alias("cell"))
+    least = [F.lit(-2.0).alias(c) for c in ("least_in", "least_out")]
+    groups = _blocks_of(rows, "cell").join(_rooted(vectors, roots).select("*", *least), "id").groupBy("cell", "i", "j")
+    return pin(groups.applyInArrow(_meet(neighbours, threshold), EDGES_SQL))
+
 
+def _placed(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Neighbours by the components as they are known now."""
+    ends = edges.join(roots.select(F.col("node").alias("src"), F.col("root").alias("r")), "src", "left")
+    ends = ends.join(roots.select(F.col("node").alias("dst"), F.col("root").alias("s")), "dst", "left")
+    same = F.coalesce("r", "src") == F.coalesce("s", "dst")
+    return ends.select("src", "dst", "cos", F.when(same, INSIDE).otherwise(OUTSIDE).cast("tinyint").alias("kind"))
 
-def _descend(edges: DataFrame, vectors: DataFrame, neighbours: int) -> DataFrame:
-    """One round: who shares a neighbour meets."""
+
+def _descend(edges: DataFrame, vectors: DataFrame, roots: DataFrame, neighbours: int, threshold: float) -> DataFrame:
+    """One round: what is met where all who share a neighbour meet."""
     there = edges.select(F.col("src").alias("hub"), F.col("dst").alias("id"))
     back = edges.select(F.col("dst").alias("hub"), F.col("src").alias("id"))
     own = edges.select(F.col("src").alias("hub"), F.col("src").alias("id"))
     met = there.unionByName(back).unionByName(own).distinct()
-    worst = edges.groupBy(F.col("src").alias("id")).agg(
-        F.when(F.count(F.lit(1)) >= neighbours, F.min("cos")).otherwise(-2.0).alias("worst")
-    )
-    known = vectors.join(worst, "id")
-    rows = _in_groups(met, "hub").join(known, "id")
-    new = rows.groupBy("hub", "part").applyInArrow(_meet(neighbours), EDGES_SQL)
-    return _best(edges.unionByName(new), neighbours)
+
+    def least(kind: int) -> Column:
+        full = F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)) >= neighbours
+        return F.when(full, F.min(F.when(F.col("kind") == kind, F.col("cos")))).otherwise(-2.0)
+
+    worst = edges.groupBy(F.col("src").alias("id")).agg(least(INSIDE).alias("least_in"), least(OUTSIDE).alias("least_out"))
+    rows = _blocks_of(met, "hub").join(_rooted(vectors, roots).join(worst, "id"), "id")
+    return pin(rows.groupBy("hub", "i", "j").applyInArrow(_meet(neighbours, threshold), EDGES_SQL))
 
 
 def _in_blocks(threshold: float):
@@ -159,12 +223,7 @@ def _in_blocks(threshold: float):
 
 def _count_links(vectors: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """``(id, links)``: links of each class of a component with other classes, copies counted."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    rows = roots.withColumnRenamed("node", "id").join(sizes, "root").join(vectors, "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.select("root", "id", "n", "data", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("k"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("root", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "id", "n", "data")
+    rows = _blocks_of(roots.withColumnRenamed("node", "id"), "root").join(vectors, "id")
     found = rows.groupBy("root", "i", "j").applyInArrow(_in_blocks(threshold), "id bigint, n bigint")
     return found.groupBy("id").agg(F.sum("n").alias("links"))
 
@@ -215,8 +274,8 @@ def deduplicate(
     so do rows with a null id, which are kept. ``component_id`` is the smallest id reachable over
     links, ``kept`` marks it. Rows that repeat an id count as vectors of their own. Other columns
     are ignored; an empty table gives an empty one. No link is below the threshold; links inside a
-    component are counted without exception, and the audit holds the share of components' links
-    that are found at ``RECALL`` (or stops after ``ATTEMPTS`` starts).
+    component are counted without exception. The audit holds the share of components' links
+    that are found at ``RECALL``; where ``ATTEMPTS`` starts do not reach it, the job fails.
     """
     raw = embeddings.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = pin(raw.mapInArrow(_usable, "vec_id bigint, data binary"))
@@ -226,16 +285,22 @@ def deduplicate(
     vectors = pin(classes.select(F.xxhash64("data").alias("id"), "first", "n", "data"))
     n = vectors.count()
     slim = vectors.select("id", "data")
-    links = None
+    edges = links = roots = None
     for attempt in range(ATTEMPTS):
-        edges = _start(slim, n, seed + attempt, neighbours)
-        for _ in range(rounds):
-            edges = _descend(edges, slim, neighbours)
-        found = edges.where(F.col("cos") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        links = found if links is None else pin(links.unionByName(found).distinct())
-        roots = components(links)
-        if _audit(slim, roots, threshold) >= RECALL:
+        for step in range(1 + rounds):
+            if step == 0:
+                met = _start(slim, roots, n, seed + attempt, neighbours, threshold)
+            else:
+                met = _descend(edges, slim, roots, neighbours, threshold)
+            found = met.where(F.col("kind") == LINK).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+            links = pin((found if links is None else links.unionByName(found)).distinct())
+            roots = components(links)
+            edges = _best(_placed((met if edges is None else edges.unionByName(met)).where(F.col("kind") != LINK), roots), neighbours)
+        recall = _audit(slim, roots, threshold)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"after {ATTEMPTS} starts the search has found {recall:.3f} of the links, less than {RECALL}")
     counts = _count_links(vectors.select("id", "n", "data"), roots, threshold)
     own = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first", "n", "data")
     smallest = own.groupBy("root").agg(F.min("first").alias("component_id"))

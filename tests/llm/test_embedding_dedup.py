@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from revloom.llm import embedding_dedup
 
@@ -56,6 +57,34 @@ def test_groups_of_copies(spark, monkeypatch):
     assert result(spark, rows) == want
 
 
+def directions(n, width, rng):
+    x = rng.standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_groups_that_fill_all_places(spark):
+    """Two groups of 100, cosine about .998 inside and .96 across, beside 600 others."""
+    rng = np.random.default_rng(5)
+    q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    second = 0.962 * q[0] + math.sqrt(1 - 0.962**2) * q[1]
+    groups = [c + 0.0447 * directions(100, 64, rng) for c in (q[0], second)]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([*groups, directions(600, 64, rng)]))]
+    want = brute(rows)
+    assert sum(n for _, n, *_ in want) > 2 * (2 * 100 * 99 // 2 + 9000) and sum(kept for *_, kept in want) == 601
+    assert result(spark, rows) == want
+
+
+def test_search_that_falls_short_fails(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = directions(600, 16, rng)
+    rows = np.concatenate([x, x + 0.2 * directions(600, 16, rng)])
+    monkeypatch.setattr(embedding_dedup, "TABLES", 1)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="search"):
+        df = spark.createDataFrame([(i, [float(c) for c in v], 0, "x") for i, v in enumerate(rows)], SCHEMA)
+        embedding_dedup.deduplicate(df, rounds=0).count()
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]),
             (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1e38, 1e38]), (11, [1e-38, 1e-38]), (12, [-1.0, 0.0]), (7, [1.0, 0.0])]
