@@ -28,6 +28,8 @@ NEIGHBOURS = 12
 TABLES, ROUNDS = 4, 2
 CELL, BLOCK = 64, 512
 AUDITED = 200  # vectors compared with all others
+LINKED, DRAWS = 50, (1, 4, 16)  # vectors of small groups that an audit holds, unless its largest draw has fewer
+PROBES = 256  # audited vectors of one product
 RECALL, ATTEMPTS = 0.98, 4
 OUTSIDE, INSIDE, LINK = 0, 1, 2  # neighbours of another component, of the own one, and links to be kept
 EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("cos", pa.float64()), ("kind", pa.int8())])
@@ -228,39 +230,52 @@ def _count_links(vectors: DataFrame, roots: DataFrame, threshold: float) -> Data
     return found.groupBy("id").agg(F.sum("n").alias("links"))
 
 
-def _audit(vectors: DataFrame, roots: DataFrame, threshold: float) -> float:
-    """Share of the true links of about ``AUDITED`` classes (by a hash of the id) whose ends are in one component."""
-    n = vectors.count()
-    drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1_000_000)) < 1_000_000 * min(1.0, AUDITED / max(n, 1)))
-    got = drawn.select("id", "data").toArrow()
-    if not got.num_rows:
-        return 1.0
-    ids, data = got.column("id").to_numpy(), got.column("data").to_pylist()
-    probe = vectors.sparkSession.sparkContext.broadcast((ids, data))
+def _audit(vectors: DataFrame, roots: DataFrame, n: int, neighbours: int, threshold: float) -> float:
+    """Mean share of a linked vector's true links that are in its component, of vectors drawn by a hash of the id.
+
+    The lower one of vectors with up to ``neighbours`` links and of those with more, each vector
+    with equal weight. Larger draws follow until ``LINKED`` vectors with few links are in.
+    """
+    known = _rooted(vectors, roots)
+    recalls: dict[bool, tuple[int, float]] = {}
+    for times in DRAWS:
+        share = min(1.0, times * AUDITED / max(n, 1))
+        got = known.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1_000_000)) < 1_000_000 * share).toArrow()
+        if got.num_rows:
+            true = known.mapInArrow(_true_links(vectors, got, threshold), "src bigint, n bigint, hit bigint")
+            each = true.groupBy("src").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
+            by_size = each.groupBy((F.col("n") > neighbours).alias("many"))
+            found = by_size.agg(F.count(F.lit(1)).alias("m"), F.avg(F.col("hit") / F.col("n")).alias("recall"))
+            recalls = {r["many"]: (r["m"], r["recall"]) for r in found.collect()}
+        if share == 1.0 or recalls.get(False, (0, 0.0))[0] >= LINKED:
+            break
+    return min((recall for _, recall in recalls.values()), default=1.0)
+
+
+def _true_links(vectors: DataFrame, drawn: pa.Table, threshold: float):
+    """Per batch and drawn vector with a link: its links, and how many of them are in its component."""
+    columns = drawn.column("id").to_numpy(), drawn.column("root").to_numpy(), drawn.column("data").to_pylist()
+    probe = vectors.sparkSession.sparkContext.broadcast(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, raw = probe.value
+        ids, roots, raw = probe.value
+        sizes = np.array([len(d) for d in raw])
         for batch in batches:
-            all_ids = batch.column("id").to_numpy()
+            all_ids, all_roots = batch.column("id").to_numpy(), batch.column("root").to_numpy()
             widths = pc.binary_length(batch.column("data")).to_numpy()
             for width in np.unique(widths):
-                mine = [q for q, d in enumerate(raw) if len(d) == width]
-                if not mine:
-                    continue
-                rows = np.flatnonzero(widths == width)
+                mine, rows = np.flatnonzero(sizes == width), np.flatnonzero(widths == width)
                 x = _unit(batch.column("data").take(pa.array(rows)))
-                y = _unit(pa.array([raw[q] for q in mine], pa.binary()))
-                a, b = np.nonzero(y @ x.T >= threshold)
-                src, dst = own[np.array(mine)[a]], all_ids[rows[b]]
-                keep = src != dst
-                yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], ["src", "dst"])
-
-    true = vectors.select("id", "data").mapInArrow(run, "src bigint, dst bigint")
-    both = true.join(roots.select(F.col("node").alias("src"), F.col("root").alias("r")), "src", "left").join(
-        roots.select(F.col("node").alias("dst"), F.col("root").alias("s")), "dst", "left"
-    )
-    row = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("r") == F.col("s"), 1).otherwise(0)).alias("hit")).first()
-    return (row["hit"] or 0) / row["n"] if row["n"] else 1.0
+                for at in range(0, len(mine), PROBES):
+                    own = mine[at : at + PROBES]
+                    y = _unit(pa.array([raw[q] for q in own], pa.binary()))
+                    near = (y @ x.T >= threshold) & (ids[own][:, None] != all_ids[rows][None, :])
+                    n = near.sum(axis=1)
+                    hit = (near & (roots[own][:, None] == all_roots[rows][None, :])).sum(axis=1)
+                    some = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(c[some].astype(np.int64)) for c in (ids[own], n, hit)], ["src", "n", "hit"])
+
+    return run
 
 
 def deduplicate(
@@ -274,8 +289,8 @@ def deduplicate(
     so do rows with a null id, which are kept. ``component_id`` is the smallest id reachable over
     links, ``kept`` marks it. Rows that repeat an id count as vectors of their own. Other columns
     are ignored; an empty table gives an empty one. No link is below the threshold; links inside a
-    component are counted without exception. The audit holds the share of components' links
-    that are found at ``RECALL``; where ``ATTEMPTS`` starts do not reach it, the job fails.
+    component are counted without exception. The audit holds the mean share of a vector's links that
+    are in its component at ``RECALL``; where ``ATTEMPTS`` starts do not reach it, the job fails.
     """
     raw = embeddings.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = pin(raw.mapInArrow(_usable, "vec_id bigint, data binary"))
@@ -296,11 +311,11 @@ def deduplicate(
             links = pin((found if links is None else links.unionByName(found)).distinct())
             roots = components(links)
             edges = _best(_placed((met if edges is None else edges.unionByName(met)).where(F.col("kind") != LINK), roots), neighbours)
-        recall = _audit(slim, roots, threshold)
+        recall = _audit(slim, roots, n, neighbours, threshold)
         if recall >= RECALL:
             break
     else:
-        raise RuntimeError(f"after {ATTEMPTS} starts the search has found {recall:.3f} of the links, less than {RECALL}")
+        raise RuntimeError(f"after {ATTEMPTS} starts the search has found {recall:.3f} of a vector's links, less than {RECALL}")
     counts = _count_links(vectors.select("id", "n", "data"), roots, threshold)
     own = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first", "n", "data")
     smallest = own.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -74,6 +74,30 @@ def test_groups_that_fill_all_places(spark):
     assert result(spark, rows) == want
 
 
+def test_pairs_in_a_dense_region(spark):
+    """1500 vectors that share a cone, below the threshold to each other but for 60 planted pairs."""
+    rng = np.random.default_rng(6)
+    axis = directions(1, 64, rng)
+    cone = axis + 0.9 * directions(1440, 64, rng)
+    cone /= np.linalg.norm(cone, axis=1, keepdims=True)
+    rows = np.concatenate([cone, cone[:60] + 0.25 * directions(60, 64, rng), directions(1500, 64, rng)])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    assert sorted(zip(a, b)) == [(k, 1440 + k) for k in range(60)]
+    got = result(spark, [(i, v.tolist()) for i, v in enumerate(rows)])
+    assert sum(n for _, n, *_ in got) == 2 * 60
+
+
+def test_large_group_hides_no_pairs_from_the_audit(spark):
+    """A group of 80 is found, 30 pairs are not: 99 per cent of the links, but none of the pairs."""
+    rng = np.random.default_rng(9)
+    pairs = np.repeat(directions(30, 64, rng), 2, axis=0) + 0.1 * directions(60, 64, rng)
+    x = np.concatenate([directions(1, 64, rng) + 0.1 * directions(80, 64, rng), pairs])
+    vectors = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id bigint, data binary")
+    roots = spark.createDataFrame([(i, 0) for i in range(80)], "node bigint, root bigint")
+    assert embedding_dedup._audit(vectors, roots, len(x), 12, 0.95) == 0.0
+
+
 def test_search_that_falls_short_fails(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = directions(600, 16, rng)
