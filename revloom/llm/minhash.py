@@ -249,8 +249,8 @@ def deduplicate(
     ``words``-word shingles (with fewer words, the whole sequence is the one shingle), A-Z being
     lower-cased. ``component_id`` is the smallest id reachable over links, ``kept`` marks it.
 
-    Null and empty texts and those without words have no shingles and link with nothing. A null id
-    links with nothing and its row is kept. Rows that repeat an id are looked at one by one, each by
+    Null and empty texts and those without words have no shingles and link with nothing. A row
+    with a null id makes no links: it is kept, and its ``component_id`` is that of an equal text, or null. Rows that repeat an id are looked at one by one, each by
     its own text. Other columns are ignored; an empty table gives an empty one.
     ``rows`` and ``bands`` decide how likely a link is found, not which pairs are links.
     """

@@ -39,7 +39,8 @@ def brute(docs, threshold):
 
 def result(spark, docs, threshold, partitions=3):
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], SCHEMA).repartition(partitions)
-    return sorted(tuple(r) for r in minhash.deduplicate(df, threshold=threshold).collect())
+    found = minhash.deduplicate(df, threshold=threshold)
+    return sorted(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id", "kept").collect())
 
 
 def near_copies(n, words, edits, seed):
@@ -76,6 +77,13 @@ def test_repeated_rows_and_null_ids(spark):
     assert (rows[None].component_id, rows[None].kept, rows[1].kept) == (1, True, True)
 
 
+def test_rows_carry_the_hash_of_their_text(spark):
+    df = spark.createDataFrame([(1, "a b", "", 0), (2, None, "", 0), (3, "", "", 0)], SCHEMA)
+    rows = {r.doc_id: r.text_hash for r in minhash.deduplicate(df).collect()}
+    want = df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) h").collect()
+    assert rows == {r.doc_id: r.h for r in want} and rows[2] == rows[3] != rows[1]
+
+
 def test_empty_table(spark):
     assert minhash.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
 
