@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, minhash, ngram_lm, suffix_dedup, token_counts, toxicity
+from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, merkle, minhash, ngram_lm, suffix_dedup, token_counts, toxicity
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +75,19 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, checked with the document as it is or without its line feeds."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed &= F.contains("text", F.lit("\n"))
+    without = merkle.leaf_digest([F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in merkle.FIELDS])
+    found = merkle.build(docs, carry=[F.col("doc_id"), F.when(changed, F.unhex(without)).alias("changed")]).proofs()
+    checked = merkle.verify(found, F.coalesce(F.lower(F.hex("row.changed")), "leaf"))
+    return checked.select(
+        F.col("row.doc_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
@@ -85,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_lm": op10_ngram_lm,
+    "op11_merkle": op11_merkle,
 }
 
 # Words and shingles as the operator has them; links by counting shared shingles; then reachability.
@@ -184,4 +199,56 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM component LEFT JOIN degree USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_nn_descent": OP6_SQL, "op7_decontaminate": OP7_SQL}
+# Levels of each source's tree as lists, then the tree over the sources, then every document's way up.
+# No function of crc32: its eight steps a byte over the digits of the id.
+OP11_SQL = r"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, sha256(concat(
+            FIELD(doc_id), FIELD(source), FIELD(lang), FIELD(n_chars), FIELD(text))) AS leaf,
+        sha256(concat(
+            FIELD(doc_id), FIELD(source), FIELD(lang), FIELD(n_chars), FIELD(replace(text, chr(10), '')))) AS bare,
+        xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+            list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+            lambda c, d: list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM leaves
+), levels AS (
+    SELECT source, 0 AS lvl, list(leaf ORDER BY doc_id) AS nodes FROM leaves GROUP BY source
+    UNION ALL
+    SELECT source, lvl + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda k: sha256(array_to_string(nodes[3 * k + 1:3 * k + 3], '')))
+    FROM levels WHERE len(nodes) > 1
+), subroots AS (
+    SELECT source, nodes[1] AS subroot, lvl AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+    FROM levels WHERE len(nodes) = 1
+), tops AS (
+    SELECT 0 AS lvl, list(subroot ORDER BY place) AS nodes FROM subroots
+    UNION ALL
+    SELECT lvl + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda k: sha256(array_to_string(nodes[3 * k + 1:3 * k + 3], '')))
+    FROM tops WHERE len(nodes) > 1
+), steps AS (
+    SELECT p.doc_id, l.lvl, p.place // (3 ** l.lvl)::BIGINT AS i, l.nodes
+    FROM placed p JOIN levels l ON p.source IS NOT DISTINCT FROM l.source WHERE len(l.nodes) > 1
+    UNION ALL
+    SELECT p.doc_id, s.height + t.lvl, s.place // (3 ** t.lvl)::BIGINT, t.nodes
+    FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source CROSS JOIN tops t WHERE len(t.nodes) > 1
+), sides AS (
+    SELECT doc_id, lvl, array_to_string(nodes[i - i % 3 + 1:i], '') AS l, array_to_string(nodes[i + 2:i - i % 3 + 3], '') AS r FROM steps
+), proofs AS (
+    SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof_sha256, list(l ORDER BY lvl) AS ls, list(r ORDER BY lvl) AS rs
+    FROM sides GROUP BY doc_id
+), folded AS (
+    SELECT p.doc_id, 1 AS k, CASE WHEN p.crc % 2 = 0 THEN p.bare ELSE p.leaf END AS node, ls, rs
+    FROM placed p JOIN proofs USING (doc_id)
+    UNION ALL
+    SELECT doc_id, k + 1, sha256(ls[k] || node || rs[k]), ls, rs FROM folded WHERE k <= len(ls)
+)
+SELECT p.doc_id, p.leaf, s.subroot, t.nodes[1] AS root, q.proof_sha256, f.node AS folded_root, f.node = t.nodes[1] AS verified
+FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source JOIN proofs q USING (doc_id)
+JOIN folded f ON f.doc_id = p.doc_id AND f.k = len(f.ls) + 1 CROSS JOIN (SELECT nodes FROM tops WHERE len(nodes) = 1) t
+"""
+OP11_SQL = re.sub(
+    r"FIELD\((\w+|replace\(.*?''\))\)", r"coalesce(strlen(\1::VARCHAR)::VARCHAR || ':' || \1::VARCHAR, '-')", OP11_SQL
+)
+
+ORACLES: dict[str, str] = {"op11_merkle": OP11_SQL, "op2_minhash": OP2_SQL, "op6_nn_descent": OP6_SQL, "op7_decontaminate": OP7_SQL}
