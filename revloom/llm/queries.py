@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, merkle, minhash, ngram_lm, suffix_dedup, token_counts, toxicity
+from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, merkle, minhash, ngram_lm, suffix_dedup, token_counts, toxicity, whitening
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -88,6 +88,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in 32 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_lm": op10_ngram_lm,
     "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
 }
 
 # Words and shingles as the operator has them; links by counting shared shingles; then reachability.
