@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, merkle, minhash, ngram_lm, suffix_dedup, token_counts, toxicity, whitening
+from revloom.llm import bpe, decontaminate, embedding_dedup, html_text, langid, merkle, minhash, ngram_lm, suffix_dedup, token_counts, toxicity, warc, whitening
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -93,6 +93,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web archives and read back through their index."""
+    return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_lm": op10_ngram_lm,
     "op11_merkle": op11_merkle,
     "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
 }
 
 # Words and shingles as the operator has them; links by counting shared shingles; then reachability.
@@ -257,4 +263,16 @@ OP11_SQL = re.sub(
     r"FIELD\((\w+|replace\(.*?''\))\)", r"coalesce(strlen(\1::VARCHAR)::VARCHAR || ':' || \1::VARCHAR, '-')", OP11_SQL
 )
 
-ORACLES: dict[str, str] = {"op11_merkle": OP11_SQL, "op2_minhash": OP2_SQL, "op6_nn_descent": OP6_SQL, "op7_decontaminate": OP7_SQL}
+OP13_SQL = """
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), shared AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM shared
+"""
+
+ORACLES: dict[str, str] = {"op13_warc": OP13_SQL, "op11_merkle": OP11_SQL, "op2_minhash": OP2_SQL, "op6_nn_descent": OP6_SQL, "op7_decontaminate": OP7_SQL}
