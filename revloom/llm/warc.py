@@ -231,13 +231,13 @@ def _place(line: tuple | list) -> tuple:
 
 
 def _write_index(folder: str, block_lines: int):
-    """The sorted lines of a task as one file of blocks with its directory; gives its path and first place."""
+    """The sorted lines of a task as one file of blocks with its directory; its path, first place and bytes of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = stream = None
         held: list[list] = []
         directory: list[list] = []
-        at = 0
+        at = size = 0
 
         def flush() -> None:
             nonlocal at
@@ -251,6 +251,7 @@ def _write_index(folder: str, block_lines: int):
                 if stream is None:
                     path, stream = _create(folder, f"index-{uuid.uuid4().hex}.cdx")
                 held.append(list(row))
+                size += row[6]
                 if len(held) == block_lines:
                     flush()
         if stream is None:
@@ -262,8 +263,8 @@ def _write_index(folder: str, block_lines: int):
         stream.close()
         key, page, digest = directory[0][:3]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key]), pa.array([page], pa.int64()), pa.array([digest]), pa.array([path]), pa.array([len(directory)], pa.int64())],
-            ["key", "id", "digest", "path", "blocks"],
+            [pa.array([key]), pa.array([page], pa.int64()), pa.array([digest]), pa.array([path]), pa.array([size], pa.int64())],
+            ["key", "id", "digest", "path", "size"],
         )
 
     return run
@@ -315,10 +316,15 @@ class Lookup:
 
 @dataclass
 class CaptureIndex:
-    """``files``: ``(key, id, digest, path)`` of each index file's first line, in order."""
+    """``files``: ``(key, id, digest, path)`` of each index file's first line, in order; ``size``: bytes of all records."""
 
     spark: SparkSession
     files: list[tuple]
+    size: int
+
+    def tasks(self) -> int:
+        """As many as reading all records should be dealt to: lines are small, what they stand for is not."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.size // (16 * READ_BYTES)))
 
     def captures(self) -> DataFrame:
         """All lines, read block by block."""
@@ -364,8 +370,8 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     order = ["key", F.asc_nulls_first("id"), "digest"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = captures.select(*NAMES).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    files = pin(ranged.mapInArrow(_write_index(folder, block_lines), "key string, id bigint, digest string, path string, blocks bigint"))
-    return CaptureIndex(spark, sorted(((r["key"], r["id"], r["digest"], r["path"]) for r in files.collect()), key=_place))
+    files = pin(ranged.mapInArrow(_write_index(folder, block_lines), "key string, id bigint, digest string, path string, size bigint")).collect()
+    return CaptureIndex(spark, sorted(((r["key"], r["id"], r["digest"], r["path"]) for r in files), key=_place), sum(r["size"] for r in files))
 
 
 # --- reading ------------------------------------------------------------------------------------
@@ -421,13 +427,13 @@ def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, READ_TYPES)], READ_NAMES)
 
 
-def read_records(lines: DataFrame, keep: bool = True) -> DataFrame:
+def read_records(lines: DataFrame, tasks: int, keep: bool = True) -> DataFrame:
     """The records (``READ``) of index lines by range reads, dealt by part of an archive and in its order.
 
     ``size`` and ``digest`` are those of the payload as read; a revisit has no size and the digest of its header.
     """
     part = F.floor(F.col("offset") / (4 * READ_BYTES))
-    dealt = lines.repartition("file", part).sortWithinPartitions("file", "offset")
+    dealt = lines.repartition(tasks, "file", part).sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length", "refers_key").mapInArrow(_records(keep), READ)
 
 
@@ -437,10 +443,10 @@ def read_back(index: CaptureIndex) -> DataFrame:
     All captures of the index are read. What a revisit refers to is looked up in the index, every different one
     once, and its size and digest are those of the payload found there.
     """
-    read = pin(read_records(index.captures(), keep=False).drop("payload"))
+    read = pin(read_records(index.captures(), index.tasks(), keep=False).drop("payload"))
     again = read.where("kind = 'revisit'")
     targets = index.find(again.select(F.col("refers_key").alias("key"), F.col("refers_to").alias("id"), "digest"))
-    found = read_records(targets.where("kind = 'response'"), keep=False)
+    found = read_records(targets.where("kind = 'response'"), index.tasks(), keep=False)
     found = found.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("size").alias("full"))
     # Many pages may revisit one: adaptive execution splits such a key on the left.
     again = again.join(found, ["refers_to", "digest"])

@@ -82,7 +82,7 @@ def test_files_are_archives(spark):
 
 def test_records_with_payloads(spark):
     index = warc.archive(frame(spark, ODD[:6]))
-    read = {r.page_id: r for r in warc.read_records(index.captures()).collect()}
+    read = {r.page_id: r for r in warc.read_records(index.captures(), index.tasks()).collect()}
     assert read[6].payload.decode() == "ü" * 400_000 and read[1].payload is None and read[1].kind == "revisit" and read[1].refers_to == 2
     assert read[4].url == "not%20a%20url%0D%0AX:%20y%09" and read[2].url is None
 
