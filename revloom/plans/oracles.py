@@ -41,6 +41,14 @@ IS_TRAIN = (
     "CAST('0x' || substr(md5(review_id || '|12345'), 1, 8) AS BIGINT) % 10000 < 8000"
 )
 
+# Reviews with the sums of a vector's numbers in even and in odd places.
+TWO = f"""{REV},
+two AS (
+  SELECT review_id, user_id, rev.label AS y, {IS_TRAIN} AS is_train,
+         list_sum(list_transform(embedding, lambda v, i: CASE WHEN i % 2 = 1 THEN CAST(v AS DOUBLE) ELSE 0 END)) AS x0,
+         list_sum(list_transform(embedding, lambda v, i: CASE WHEN i % 2 = 0 THEN CAST(v AS DOUBLE) ELSE 0 END)) AS x1
+  FROM rev JOIN embeddings ON vec_id = part_id % (SELECT count(*) FROM embeddings))"""
+
 # One row per review and vector component x; norm is the length of the whole vector.
 LONG = f"""{REV},
 emb AS (
@@ -348,6 +356,61 @@ m AS (
 w AS (SELECT *, (p * d - b * q) / (a * d - b * b) AS w0, (a * q - b * p) / (a * d - b * b) AS w1 FROM m)
 SELECT community_id, round(w0, 6) AS w0, round(w1, 6) AS w1, round(my - w0 * m0 - w1 * m1, 6) AS intercept, n
 FROM w""",
+        "q58_training_summary": f"""
+WITH {TWO}, {MEMBERSHIP},
+g AS (
+  SELECT CAST(NULL AS BIGINT) AS c, x0, x1, y FROM two WHERE is_train
+  UNION ALL SELECT community_id, x0, x1, y FROM two JOIN membership USING (user_id) WHERE is_train),
+m AS (
+  SELECT c, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, avg(y) AS my, var_pop(x0) AS a, covar_pop(x0, x1) AS b,
+         var_pop(x1) AS d, covar_pop(x0, y) AS p, covar_pop(x1, y) AS q, var_pop(y) AS v FROM g GROUP BY c),
+w AS (
+  SELECT *, a * d - b * b AS det, n - 3 AS free, (p * d - b * q) / (a * d - b * b) AS w0,
+         (a * q - b * p) / (a * d - b * b) AS w1 FROM m),
+f AS (SELECT *, my - w0 * m0 - w1 * m1 AS w2, n * (v - w0 * p - w1 * q) AS sse FROM w),
+e AS (
+  SELECT *, sqrt(sse / free * d / (n * det)) AS e0, sqrt(sse / free * a / (n * det)) AS e1,
+         sqrt(sse / free * (1 + (m0 * m0 * d - 2 * m0 * m1 * b + m1 * m1 * a) / det) / n) AS e2, 1 - sse / (n * v) AS r2 FROM f),
+mae AS (
+  SELECT g.c, avg(abs(y - w0 * x0 - w1 * x1 - w2)) AS mae FROM g JOIN f ON g.c IS NOT DISTINCT FROM f.c GROUP BY g.c),
+r AS (
+  SELECT e.c, unnest([
+    {{'k': 'coefficient', 'i': 0, 'x': w0}}, {{'k': 'coefficient', 'i': 1, 'x': w1}},
+    {{'k': 'std_error', 'i': 0, 'x': e0}}, {{'k': 'std_error', 'i': 1, 'x': e1}},
+    {{'k': 't_value', 'i': 0, 'x': w0 / e0}}, {{'k': 't_value', 'i': 1, 'x': w1 / e1}},
+    {{'k': 'intercept', 'i': NULL, 'x': w2}}, {{'k': 'intercept_std_error', 'i': NULL, 'x': e2}},
+    {{'k': 'intercept_t_value', 'i': NULL, 'x': w2 / e2}}, {{'k': 'n', 'i': NULL, 'x': n}},
+    {{'k': 'degrees_of_freedom', 'i': NULL, 'x': free}}, {{'k': 'rmse', 'i': NULL, 'x': sqrt(sse / n)}},
+    {{'k': 'r2', 'i': NULL, 'x': r2}}, {{'k': 'r2_adjusted', 'i': NULL, 'x': 1 - (1 - r2) * (n - 1) / free}},
+    {{'k': 'mae', 'i': NULL, 'x': mae}}]) AS s
+  FROM e JOIN mae ON e.c IS NOT DISTINCT FROM mae.c)
+SELECT c AS community_id, s.k AS parameter, CAST(s.i AS BIGINT) AS pos, round(CAST(s.x AS DOUBLE), 5) AS value FROM r""",
+        "q59_grid_search": f"""
+WITH RECURSIVE {TWO},
+parts AS (SELECT *, {IS_TRAIN.replace('12345', '54321')} AS is_fit FROM two WHERE is_train),
+m AS (
+  SELECT avg(x0) AS m0, avg(x1) AS m1, avg(y) AS my, var_pop(x0) AS a, covar_pop(x0, x1) AS b, var_pop(x1) AS d,
+         covar_pop(x0, y) AS p, covar_pop(x1, y) AS q, stddev_pop(x0) AS s0, stddev_pop(x1) AS s1, stddev_pop(y) AS sy
+  FROM parts WHERE is_fit),
+grid AS (
+  SELECT CAST(r AS DOUBLE) AS r, f, CAST(e AS DOUBLE) AS e FROM (VALUES (0.1), (0.01)) t(r), (VALUES (false), (true)) u(f), (VALUES (0), (0.5), (1)) v(e)),
+std AS (
+  SELECT r, f, e, r / sy * e AS l1, r / sy * (1 - e) AS l2, CASE WHEN f THEN 0 ELSE 1 END AS z,
+         (a + z * m0 * m0) / (s0 * s0) AS a00, (b + z * m0 * m1) / (s0 * s1) AS a01, (d + z * m1 * m1) / (s1 * s1) AS a11,
+         (p + z * m0 * my) / (s0 * sy) AS b0, (q + z * m1 * my) / (s1 * sy) AS b1 FROM grid, m),
+steps AS (
+  SELECT r, f, e, 0 AS i, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1 FROM std
+  UNION ALL
+  SELECT r, f, e, i + 1, n0, sign(b1 - a01 * n0) * greatest(abs(b1 - a01 * n0) - l1, 0) / (a11 + l2)
+  FROM (SELECT std.*, i, w1, sign(b0 - a01 * w1) * greatest(abs(b0 - a01 * w1) - l1, 0) / (a00 + l2) AS n0
+        FROM steps JOIN std USING (r, f, e) WHERE i < 400)),
+model AS (
+  SELECT r, f, e, w0 * sy / s0 AS w0, w1 * sy / s1 AS w1,
+         CASE WHEN f THEN my - w0 * sy / s0 * m0 - w1 * sy / s1 * m1 ELSE 0 END AS w2 FROM steps, m WHERE i = 400),
+judged AS (
+  SELECT r, f, e, sqrt(avg((y - w0 * x0 - w1 * x1 - w2) ** 2)) AS rmse FROM model, parts WHERE NOT is_fit GROUP BY r, f, e)
+SELECT r AS reg_param, f AS fit_intercept, e AS elastic_net, round(rmse, 6) AS rmse,
+       row_number() OVER (ORDER BY rmse, r DESC, f, e) = 1 AS is_best FROM judged""",
         "q38_json_scan": f"""
 SELECT {REVIEW_ID} AS review_id, c_name AS user_id, s_name AS business_id, {STARS} AS stars,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revloom import sources
 from revloom.functions.vectors import components, l2_norm, total
-from revloom.operators import communities, embed, evaluate, geo, index, profiles, regression, social, split
+from revloom.operators import communities, embed, evaluate, geo, index, linear, profiles, regression, social, split
 from revloom.operators.relational import complete_cases, not_empty, rename
 from revloom.operators.reviews import enrich_reviews
 from revloom.plans import roles
@@ -379,11 +379,9 @@ def q30_lr_k(spark, sf_dir):
 
 @query
 def q31_tvs(spark, sf_dir):
-    search = regression.tuned(
-        regression.linear_regression(), {"regParam": [0.1, 0.01], "elasticNetParam": [0.0, 0.5]}
-    )
-    _, model = regression.fit_predict(_split_vectors(spark, sf_dir, K), search, K)
-    return regression.model_report(spark, model, "tvs")
+    """Twelve points, judged on a validation part, from one pass over the train rows."""
+    train = _split_vectors(spark, sf_dir, K).where("is_train")
+    return linear.search(regression.training_rows(train, "l2sum"), K).report(spark, "tvs")
 
 
 @query
@@ -611,3 +609,19 @@ def q53_embedding_pipeline(spark, sf_dir):
     model = embed.embedding_pipeline(K, "clean_text").fit(cleaned)
     embedded = embed.arrays(model.transform(cleaned), "features")
     return _embedded(embedded, model.stages[-1], embedded, K)
+
+
+@query
+def q58_training_summary(spark, sf_dir):
+    """Errors, t-values and fit of the linear model, over all rows and per community."""
+    train = _split_vectors(spark, sf_dir, 2).where("is_train")
+    return _rounded(linear.training_summary(train, 2, 0.0, roles.membership(spark, sf_dir)), 5, "value")
+
+
+@query
+def q59_grid_search(spark, sf_dir):
+    """The whole grid at two features, where SQL can follow every point."""
+    found = linear.search(_split_vectors(spark, sf_dir, 2).where("is_train"), 2)
+    rows = [(*[p[n] for n in linear.GRID], v, i == found.best) for i, (p, v) in enumerate(zip(found.points, found.rmse))]
+    points = spark.createDataFrame(rows, "reg_param double, fit_intercept boolean, elastic_net double, rmse double, is_best boolean")
+    return _rounded(points, 6, "rmse")
