@@ -411,6 +411,21 @@ judged AS (
   SELECT r, f, e, sqrt(avg((y - w0 * x0 - w1 * x1 - w2) ** 2)) AS rmse FROM model, parts WHERE NOT is_fit GROUP BY r, f, e)
 SELECT r AS reg_param, f AS fit_intercept, e AS elastic_net, round(rmse, 6) AS rmse,
        row_number() OVER (ORDER BY rmse, r DESC, f, e) = 1 AS is_best FROM judged""",
+        "q60_stumps": f"""
+WITH {TWO}, {MEMBERSHIP},
+g AS (SELECT community_id, x0, x1, CAST(y AS DOUBLE) AS y FROM two JOIN membership USING (user_id) WHERE is_train),
+c AS (SELECT CAST(c AS DOUBLE) AS c, f FROM (VALUES (-1), (-0.5), (-0.25), (0), (0.25), (0.5), (1)) t(c), (VALUES (0), (1)) u(f)),
+l AS (
+  SELECT community_id, f, c, count(*) AS n, sum(y) AS s FROM g, c WHERE CASE WHEN f = 0 THEN x0 ELSE x1 END <= c GROUP BY ALL),
+w AS (SELECT community_id, count(*) AS n, sum(y) AS s FROM g GROUP BY community_id),
+best AS (
+  SELECT l.community_id, f, c, l.n AS ln, l.s AS ls, w.n AS wn, w.s AS ws,
+         l.s * l.s / l.n + (w.s - l.s) * (w.s - l.s) / (w.n - l.n) - w.s * w.s / w.n AS gain
+  FROM l JOIN w USING (community_id) WHERE l.n < w.n
+  QUALIFY row_number() OVER (PARTITION BY l.community_id ORDER BY gain DESC, f, c) = 1)
+SELECT community_id, CAST(1 AS BIGINT) AS node, CAST(f AS BIGINT) AS feature, c AS threshold, round(ws / wn, 6) AS value, wn AS n, round(gain, 6) AS gain FROM best
+UNION ALL SELECT community_id, 2, -1, 0, round(ls / ln, 6), ln, 0 FROM best
+UNION ALL SELECT community_id, 3, -1, 0, round((ws - ls) / (wn - ln), 6), wn - ln, 0 FROM best""",
         "q38_json_scan": f"""
 SELECT {REVIEW_ID} AS review_id, c_name AS user_id, s_name AS business_id, {STARS} AS stars,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,

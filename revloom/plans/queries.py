@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revloom import sources
 from revloom.functions.vectors import components, l2_norm, total
-from revloom.operators import communities, embed, evaluate, geo, index, linear, profiles, regression, social, split
+from revloom.operators import communities, embed, evaluate, forests, geo, index, linear, profiles, regression, social, split
 from revloom.operators.relational import complete_cases, not_empty, rename
 from revloom.operators.reviews import enrich_reviews
 from revloom.plans import roles
@@ -26,6 +26,8 @@ MIN_USER = 8
 MIN_BUSINESS = 590
 # Too close to zero to divide by: the quotient would be decided by rounding.
 MIN_ABS_SUM = 1e-6
+# Where the trees of one split may split.
+CUTS = [-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0]
 # Words the text queries leave out.
 STOP_WORDS = "the and of in to is de la le et und der die das que los les".split()
 
@@ -365,10 +367,16 @@ def q28_word2vec(spark, sf_dir):
     return _embedded(tokens, model, embed.arrays(model.transform(tokens), "features"), 20)
 
 
+def _forest_pairs(spark: SparkSession, sf_dir: str, membership: DataFrame | None = None) -> DataFrame:
+    """Pair sums of a forest of 20 trees of depth 10, over all rows or per community."""
+    vectors = pin(_split_vectors(spark, sf_dir, K).select("review_id", "user_id", "business_id", "label", "features", "is_train"))
+    nodes = forests.fit_forests(regression.training_rows(vectors, "l2sum"), K, forests.Forest(), membership)
+    return forests.score_forests(regression.blended_test(vectors, "l2sum", K), nodes, membership)
+
+
 @query
 def q29_rf_predict(spark, sf_dir):
-    scored, _ = regression.fit_predict(_split_vectors(spark, sf_dir, K), regression.random_forest(), K)
-    return scored
+    return _forest_pairs(spark, sf_dir)
 
 
 @query
@@ -540,13 +548,7 @@ def q46_rename(spark, sf_dir):
 
 @query
 def q47_rf_by_community(spark, sf_dir):
-    scored, _ = regression.fit_estimator_by_community(
-        _split_vectors(spark, sf_dir, K),
-        roles.region_membership(spark, sf_dir),
-        regression.random_forest(5, 5),
-        K,
-    )
-    return evaluate.combine_predictions(scored)
+    return evaluate.combine_predictions(_forest_pairs(spark, sf_dir, roles.region_membership(spark, sf_dir)))
 
 
 @query
@@ -625,3 +627,13 @@ def q59_grid_search(spark, sf_dir):
     rows = [(*[p[n] for n in linear.GRID], v, i == found.best) for i, (p, v) in enumerate(zip(found.points, found.rmse))]
     points = spark.createDataFrame(rows, "reg_param double, fit_intercept boolean, elastic_net double, rmse double, is_best boolean")
     return _rounded(points, 6, "rmse")
+
+
+@query
+def q60_stumps(spark, sf_dir):
+    """A tree of one split per community, whose nodes SQL can find as well."""
+    train = _split_vectors(spark, sf_dir, 2).where("is_train")
+    spec = forests.Forest(num_trees=1, max_depth=1, features="all", bootstrap=False)
+    nodes = forests.fit_forests(train, 2, spec, roles.membership(spark, sf_dir), cuts=[CUTS, CUTS])
+    kept = nodes.select("community_id", "node", F.col("feature").cast("bigint").alias("feature"), "threshold", "value", F.col("weight").cast("bigint").alias("n"), "gain")
+    return _rounded(kept, 6, "value", "gain")
