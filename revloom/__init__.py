@@ -1,6 +1,7 @@
 """Review-based recommendation analytics on Spark DataFrames."""
 
-from revloom.operators.communities import attach_communities, detect_communities, parse_communities
+from revloom.operators.affiliation import detect_communities
+from revloom.operators.communities import attach_communities, parse_communities
 from revloom.operators.embed import embed_reviews, mean_word_vectors, tokenise_reviews
 from revloom.operators.evaluate import combine_predictions, describe, evaluate, regression_metrics
 from revloom.operators.geo import geo_outlier_filter, prepare_business

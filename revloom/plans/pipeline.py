@@ -15,7 +15,7 @@ from pyspark.ml.util import MLReadable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revloom import sources
-from revloom.operators import communities, embed, geo, profiles, regression, social, split
+from revloom.operators import affiliation, communities, embed, geo, profiles, regression, social, split
 from revloom.operators.evaluate import describe
 from revloom.operators.reviews import enrich_reviews
 from revloom.plans.sweep import sweep
@@ -80,13 +80,13 @@ class Pipeline:
         rows = profiles.blend_reviews(self.review_vectors(k), mode, k)
         sources.write_table(rows, self.path(f"blended/mode={mode}/k={k}"))
 
-    def communities(self, c: int, lines: str | None = None, min_reviews: int = 100, rounds: int = 20) -> None:
+    def communities(self, c: int, lines: str | None = None, min_reviews: int = 100, rounds: int = 50) -> None:
         """``membership``: read from community lines, or found among active users' friendships."""
         if lines is not None:
             member = communities.parse_communities(sources.read_lines(self.spark, lines))
         else:
             edges = social.active_friend_edges(self.table("users"), min_reviews)
-            member = communities.detect_communities(edges, c, rounds)
+            member = affiliation.detect_communities(edges, c, max_rounds=rounds)
         sources.write_table(member, self.path(f"membership/c={c}"))
 
     def membership(self, c: int) -> DataFrame:

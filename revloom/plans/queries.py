@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revloom import sources
 from revloom.functions.vectors import components, l2_norm, total
-from revloom.operators import communities, embed, evaluate, forests, geo, index, linear, profiles, regression, social, split
+from revloom.operators import affiliation, communities, embed, evaluate, forests, geo, index, linear, profiles, regression, social, split
 from revloom.operators.relational import complete_cases, not_empty, rename
 from revloom.operators.reviews import enrich_reviews
 from revloom.plans import roles
@@ -405,7 +405,7 @@ def q32_sweep(spark, sf_dir):
 @query
 def q33_detect_communities(spark, sf_dir):
     edges = social.map_friends(roles.friend_links(spark, sf_dir), roles.user_dictionary(spark, sf_dir))
-    return communities.detect_communities(edges, 5, rounds=5)
+    return affiliation.detect_communities(edges, 5)
 
 
 @query
