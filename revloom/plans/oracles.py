@@ -194,6 +194,22 @@ def _metric_log(k: int) -> str:
     )
 
 
+# Words within five places of each other, both frequent, and their mutual information.
+PMI = f"""docs AS (SELECT doc_id, {WORDS} AS words FROM documents),
+often AS (SELECT word FROM (SELECT unnest(words) AS word FROM docs) GROUP BY word HAVING count(*) >= 10),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+near AS (
+  SELECT least(words[i], words[i + d]) AS a, greatest(words[i], words[i + d]) AS b
+  FROM places, (VALUES (1), (2), (3), (4), (5)) t(d) WHERE i + d <= len(words)),
+pairs AS (
+  SELECT a, b, count(*) AS n FROM near
+  WHERE a IN (SELECT word FROM often) AND b IN (SELECT word FROM often) GROUP BY a, b),
+margin AS (SELECT word, sum(n) AS m FROM (SELECT a AS word, n FROM pairs UNION ALL SELECT b, n FROM pairs) GROUP BY word),
+pmi AS (
+  SELECT a, b, n, ln(CAST(CASE WHEN a = b THEN 2 * n ELSE n END AS DOUBLE) * (SELECT sum(m) FROM margin) / x.m / y.m) AS pmi
+  FROM pairs JOIN margin x ON x.word = a JOIN margin y ON y.word = b)"""
+
+
 def oracle_sql() -> dict[str, str]:
     metrics = _metrics("label", "prediction")
     return {
@@ -426,6 +442,16 @@ best AS (
 SELECT community_id, CAST(1 AS BIGINT) AS node, CAST(f AS BIGINT) AS feature, c AS threshold, round(ws / wn, 6) AS value, wn AS n, round(gain, 6) AS gain FROM best
 UNION ALL SELECT community_id, 2, -1, 0, round(ls / ln, 6), ln, 0 FROM best
 UNION ALL SELECT community_id, 3, -1, 0, round((ws - ls) / (wn - ln), 6), wn - ln, 0 FROM best""",
+        "q61_pmi": f"""
+WITH {PMI} SELECT a, b, n, round(pmi, 6) AS pmi FROM pmi WHERE pmi > 1e-9""",
+        "q62_pmi_vectors": f"""
+WITH {PMI},
+known AS (SELECT DISTINCT unnest([a, b]) AS word FROM pmi WHERE pmi > 1e-9),
+long AS (SELECT doc_id, unnest(words) AS word FROM docs),
+found AS (
+  SELECT doc_id, count(*) AS n_words, count(known.word) AS n_known FROM long LEFT JOIN known USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_known, 0) AS n_known, coalesce(n_known, 0) = 0 AS is_zero
+FROM docs LEFT JOIN found USING (doc_id)""",
         "q38_json_scan": f"""
 SELECT {REVIEW_ID} AS review_id, c_name AS user_id, s_name AS business_id, {STARS} AS stars,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revloom import sources
 from revloom.functions.vectors import components, l2_norm, total
-from revloom.operators import affiliation, communities, embed, evaluate, forests, geo, index, linear, profiles, regression, social, split
+from revloom.operators import affiliation, communities, cooccurrence, embed, evaluate, forests, geo, index, linear, profiles, regression, social, split
 from revloom.operators.relational import complete_cases, not_empty, rename
 from revloom.operators.reviews import enrich_reviews
 from revloom.plans import roles
@@ -637,3 +637,26 @@ def q60_stumps(spark, sf_dir):
     nodes = forests.fit_forests(train, 2, spec, roles.membership(spark, sf_dir), cuts=[CUTS, CUTS])
     kept = nodes.select("community_id", "node", F.col("feature").cast("bigint").alias("feature"), "threshold", "value", F.col("weight").cast("bigint").alias("n"), "gain")
     return _rounded(kept, 6, "value", "gain")
+
+
+def _weighed_pairs(tokens: DataFrame) -> DataFrame:
+    # Just above zero rounding would decide.
+    return cooccurrence.positive_pmi(tokens, 5, 10).where(F.col("pmi") > 1e-9)
+
+
+@query
+def q61_pmi(spark, sf_dir):
+    """Pairs of words within five places and their positive mutual information."""
+    return _rounded(_weighed_pairs(_tokens(spark, sf_dir)), 6, "pmi")
+
+
+@query
+def q62_pmi_vectors(spark, sf_dir):
+    """Documents as means of word vectors that no driver held: known words, and whether anything is left."""
+    tokens = _tokens(spark, sf_dir)
+    vectors, _ = cooccurrence.word_vectors(_weighed_pairs(tokens), 16)
+    vectors = pin(vectors)
+    words = tokens.select("doc_id", F.explode_outer("words").alias("word")).join(vectors.select("word", F.lit(1).alias("known")), "word", "left")
+    counts = words.groupBy("doc_id").agg(F.count("word").alias("n_words"), F.count("known").alias("n_known"))
+    means = embed.mean_word_vectors(tokens, "doc_id", vectors, 16)
+    return counts.join(means.select("doc_id", (l2_norm("features") == 0).alias("is_zero")), "doc_id")
