@@ -30,8 +30,8 @@ def entity_profiles(
     """``(key, profile, n)``: one vector per entity from its review vectors.
 
     ``sumnorm``: mean divided by its component sum. ``l2sum``: reviews normalised to length 1,
-    summed, normalised again. ``mean``: plain mean. Vectors that hold a null or non-finite number,
-    or are not ``k`` wide, are left out.
+    summed, normalised again. ``mean``: plain mean. Vectors that hold a null or non-finite number are
+    left out; one of another width than ``k`` ends the job.
     """
     _check_mode(mode)
     narrow = vectors.where(is_finite(features, k)).select(key, F.col(features).alias("profile"))

@@ -452,6 +452,14 @@ found AS (
   SELECT doc_id, count(*) AS n_words, count(known.word) AS n_known FROM long LEFT JOIN known USING (word) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_known, 0) AS n_known, coalesce(n_known, 0) = 0 AS is_zero
 FROM docs LEFT JOIN found USING (doc_id)""",
+        "q63_line_ids": """
+WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS community_id, o_custkey, o_orderkey, o_orderdate FROM orders)
+SELECT DISTINCT community_id, CAST(unnest([o_custkey, o_orderkey % 997, year(o_orderdate), 9007199254740993]) AS BIGINT) AS user_id FROM l""",
+        "q64_whole_records": """
+WITH s AS (SELECT *, s_suppkey AS k FROM supplier)
+SELECT s_name AS business_id, k AS review_count, 2 * k AS visits, CASE WHEN k % 2 = 0 THEN 'yes' END AS wifi FROM s
+WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 5 <> 0 AND k % 3 <> 0 AND k % 7 <> 0
+UNION ALL SELECT 'malformed', NULL, count(*), NULL FROM s WHERE k % 11 = 0""",
         "q38_json_scan": f"""
 SELECT {REVIEW_ID} AS review_id, c_name AS user_id, s_name AS business_id, {STARS} AS stars,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,

@@ -660,3 +660,37 @@ def q62_pmi_vectors(spark, sf_dir):
     counts = words.groupBy("doc_id").agg(F.count("word").alias("n_words"), F.count("known").alias("n_known"))
     means = embed.mean_word_vectors(tokens, "doc_id", vectors, 16)
     return counts.join(means.select("doc_id", (l2_norm("features") == 0).alias("is_zero")), "doc_id")
+
+
+@query
+def q63_line_ids(spark, sf_dir):
+    """Communities numbered by the line they are on, over a folder of files."""
+    path = scratch_path(spark, "communities")
+    roles.community_lines(spark, sf_dir).orderBy("line_id").select("value").write.text(path)
+    lines = sources.read_numbered_lines(spark, path)
+    return communities.parse_communities(lines, "value", "line_id")
+
+
+@query
+def q64_whole_records(spark, sf_dir):
+    """Complete cases over fields that no schema names; lines that are no records are counted apart."""
+    path = scratch_path(spark, "records")
+    s = F.col("s_suppkey")
+    record = F.to_json(
+        F.struct(
+            F.col("s_name").alias("business_id"),
+            F.when(s % 5 != 0, F.col("s_name")).alias("name"),
+            s.alias("review_count"),
+            # Fields of some records only.
+            F.when(s % 3 != 0, F.struct(F.when(s % 2 == 0, "yes").alias("wifi"))).alias("extra"),
+            F.when(s % 7 != 0, s * 2).alias("visits"),
+        )
+    )
+    text = F.when(s % 11 == 0, F.concat(F.substring(record, 1, 20), F.lit("..."))).when(s % 13 == 0, "").otherwise(record)
+    roles.table(spark, sf_dir, "supplier").select(text.alias("value")).write.text(path)
+    records, malformed = sources.read_whole_records(spark, path, "business_id string, name string, review_count bigint")
+    kept = complete_cases(records).select("business_id", "review_count", F.col("visits").cast("bigint").alias("visits"), F.col("extra.wifi").alias("wifi"))
+    bad = malformed.groupBy().agg(F.count("value").alias("visits")).select(
+        F.lit("malformed").alias("business_id"), F.lit(None).cast("bigint").alias("review_count"), "visits", F.lit(None).cast("string").alias("wifi")
+    )
+    return kept.unionByName(bad)

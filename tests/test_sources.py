@@ -71,3 +71,49 @@ def test_rename_and_complete_cases(spark):
     assert rename(df, label="stars").columns == ["label"]
     assert [r.stars for r in complete_cases(df).collect()] == [2]
     assert complete_cases(df, ["stars"]).count() == 2
+
+
+def _numbered(spark, path, **conf):
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return sorted((r.line_id, r.value) for r in sources.read_numbered_lines(spark, path).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_keep_their_numbers_however_files_are_split(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 70) for i in range(3000)]
+    lines[5] = lines[2000] = ""
+    for name, part in (("a", lines[:1000]), ("b", lines[1000:1001]), ("c", lines[1001:])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(part) + "\n")
+    want = [(i + 1, x) for i, x in enumerate(lines)]
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    assert _numbered(spark, str(tmp_path)) == want
+    small = {size: "10000", cost: "0"}
+    assert _numbered(spark, str(tmp_path), **small) == want
+    assert _numbered(spark, str(tmp_path / "c.txt"), **small) == [(i + 1, x) for i, x in enumerate(lines[1001:])]
+    spark.conf.set(size, "10000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset(size)
+    (tmp_path / "none").mkdir()
+    assert _numbered(spark, str(tmp_path / "none")) == []
+
+
+def test_whole_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "n": 2, "odd": null}\n{"id": "2", "n": 3, "odd": {"x": 1}}\n\n{"id": "3", "n"\n')
+    (tmp_path / "b.json").write_text('{"id": "4", "n": "many", "odd": {"x": 2}}\n[1]\nnone\n{"id": "5", "n": 1, "odd": {"y": 2}, "late": 1}\n')
+    records, malformed = sources.read_whole_records(spark, str(tmp_path), "id string, n bigint")
+    assert records.columns == ["id", "n", "late", "odd"]
+    assert sorted((r.id, r.n, r.late) for r in records.collect()) == [("1", 2, None), ("2", 3, None), ("5", 1, 1)]
+    assert [r.id for r in complete_cases(records).collect()] == ["5"]
+    assert malformed.count() == 4 and {r.value[:5] for r in malformed.collect()} == {'{"id"', "[1]", "none"}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "c.json").write_text('[{"id": "1",\n "n": 2, "odd": 1}, {"id": "2", "n": 3}]')
+    (tmp_path / "m" / "d.json").write_text('{"id": "1",\n')
+    records, malformed = sources.read_whole_records(spark, str(tmp_path / "m"), "id string, n bigint", multi_line=True)
+    assert sorted((r.id, r.n, r.odd) for r in records.collect()) == [("1", 2, 1), ("2", 3, None)] and malformed.count() == 1
