@@ -8,9 +8,21 @@ the generated hash aggregation. Vector columns of Spark ML are converted at the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
+
+# Above this width sums are packed: plain ones would leave generated code and make plans grow with it.
+WIDE = 96
+# A task hands its partial sums on when it holds this many numbers.
+SUM_BUFFER = 4_000_000
 
 
 def _col(c: Column | str) -> Column:
@@ -105,7 +117,60 @@ def vector_sums(df: DataFrame, keys: list[str], vector: str, k: int) -> DataFram
 
     One partial and one final hash aggregation over ``k`` double buffers, so a hot group is
     combined before the shuffle. Null vectors are not counted; another width than ``k`` is an error.
+    Above ``WIDE`` components sums are packed (``packed_sums``).
     """
+    if k > WIDE:
+        return packed_sums(df, keys, vector, k)
     sums = [F.sum(x).alias(f"__s{i}") for i, x in enumerate(components(vector, k))]
     grouped = df.withColumn(vector, of_width(vector, k)).groupBy(*keys).agg(F.count(vector).alias("n"), *sums)
     return grouped.select(*keys, F.array(*[F.col(f"__s{i}") for i in range(k)]).alias(vector), "n")
+
+
+def packed_sums(df: DataFrame, keys: list[str], vector: str, k: int) -> DataFrame:
+    """As ``vector_sums``, with a plan that is the same for every width.
+
+    A task adds up the vectors of each key it meets and hands on one packed row per key whenever its buffer is full;
+    Spark adds these rows up. A null component counts as 0. A group of null vectors only has null components.
+    """
+    keyed = df.select(F.struct(*[F.col(c) for c in keys]).alias("key"), of_width(vector, k).alias("v"))
+    partial = keyed.mapInArrow(_partial_sums(k), StructType().add("key", keyed.schema["key"].dataType).add("s", ArrayType(DoubleType())).add("n", LongType()))
+    sums = partial.groupBy("key").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
+    names = [F.col("key").getField(c).alias(c) for c in keys]
+    none = F.array_repeat(F.lit(None).cast("double"), k)
+    return sums.select(*names, F.when(F.col("n") > 0, vector_to_array("s")).otherwise(none).alias(vector), "n")
+
+
+def _partial_sums(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        kind = None
+
+        def flush() -> pa.RecordBatch:
+            found = list(sums.items())
+            sums.clear()
+            key = pa.array([dict(zip(names, values)) for values, _ in found], kind)
+            flat = np.concatenate([s for _, (s, _) in found])
+            ends = np.arange(len(found) + 1, dtype=np.int32) * k
+            return pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(ends, flat), pa.array([n for _, (_, n) in found], pa.int64())], ["key", "s", "n"])
+
+        for batch in batches:
+            key, v = batch.column("key"), batch.column("v")
+            kind = key.type
+            names = [kind.field(i).name for i in range(kind.num_fields)]
+            whole = np.flatnonzero(np.asarray(v.is_valid()))
+            x = pc.fill_null(v.flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, k)
+            place = {int(r): i for i, r in enumerate(whole)}
+            rows: dict[tuple, list[int]] = {}
+            for i, values in enumerate(zip(*(c.to_pylist() for c in key.flatten()))):
+                rows.setdefault(values, []).append(i)
+            for values, own in rows.items():
+                part = x[[place[i] for i in own if i in place]]
+                held = sums.setdefault(values, [np.zeros(k), 0])
+                held[0] = held[0] + part.sum(axis=0)
+                held[1] += len(part)
+            if len(sums) * k > SUM_BUFFER:
+                yield flush()
+        if sums:
+            yield flush()
+
+    return run

@@ -273,6 +273,9 @@ s AS (SELECT user_id, sqrt(sum(m * m)) AS s FROM u GROUP BY user_id)
 SELECT user_id, pos, round(m / s, 6) AS value FROM u JOIN s USING (user_id)""",
         "q14_profile_mean": f"""
 WITH {LONG} SELECT business_id, pos, round(m, 6) AS value FROM ({_profile('business_id', 'x')})""",
+        "q65_wide_mean": f"""
+WITH {LONG} SELECT business_id, pos + {K} * r AS pos, round(m, 6) AS value
+FROM ({_profile('business_id', 'x')}), range(6) t(r)""",
         "q15_blend_v1": _blend("x", "sum", 3),
         "q16_blend_v2": _blend("x / norm", "l2", 6),
         "q17_blend_v3": _blend("x", "l2", 6),

@@ -694,3 +694,10 @@ def q64_whole_records(spark, sf_dir):
         F.lit("malformed").alias("business_id"), F.lit(None).cast("bigint").alias("review_count"), "visits", F.lit(None).cast("string").alias("wifi")
     )
     return kept.unionByName(bad)
+
+
+@query
+def q65_wide_mean(spark, sf_dir):
+    """Profiles of 384 components: the vector six times over."""
+    vectors = roles.review_vectors(spark, sf_dir).select("business_id", F.flatten(F.array_repeat("features", 6)).alias("features"))
+    return _long(profiles.entity_profiles(vectors, "business_id", "mean", 6 * K), "business_id")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -135,3 +136,29 @@ def test_a_wrong_width_ends_the_job(reviews):
 def test_unknown_mode(reviews):
     with pytest.raises(ValueError):
         profiles.entity_profiles(reviews, "user_id", "median", 3)
+
+
+def test_packed_sums_equal_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 7) if i % 11 else None, "a" if i % 2 else "b", [float(x) for x in rng.normal(size=5)] if i % 5 else None) for i in range(200)]
+    rows += [(9, "c", None), (8, "c", [1.0, float("nan"), float("inf"), 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "g int, h string, x array<double>").repartition(3)
+    plain = {(r.g, r.h): (r.x, r.n) for r in v.vector_sums(df, ["g", "h"], "x", 5).collect()}
+    monkeypatch.setattr(v, "WIDE", 4)
+    packed = v.vector_sums(df, ["g", "h"], "x", 5)
+    assert packed.columns == ["g", "h", "x", "n"]
+    got = {(r.g, r.h): (r.x, r.n) for r in packed.collect()}
+    assert set(got) == set(plain) and got[9, "c"] == ([None] * 5, 0)
+    for key, (x, n) in plain.items():
+        assert got[key][1] == n
+        if n:
+            assert np.allclose(got[key][0], x, equal_nan=True)
+    assert v.packed_sums(df.limit(0), ["g"], "x", 5).count() == 0
+
+
+def test_plans_do_not_grow_with_the_width(spark):
+    def plan(k):
+        df = spark.range(3).select("id", F.array_repeat(F.rand(1), k).alias("x"))
+        return v.vector_sums(df, ["id"], "x", k)._jdf.queryExecution().executedPlan().toString()
+
+    assert abs(len(plan(128)) - len(plan(1024))) < 50
