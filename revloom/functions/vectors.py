@@ -136,8 +136,8 @@ def packed_sums(df: DataFrame, keys: list[str], vector: str, k: int) -> DataFram
     partial = keyed.mapInArrow(_partial_sums(k), StructType().add("key", keyed.schema["key"].dataType).add("s", ArrayType(DoubleType())).add("n", LongType()))
     sums = partial.groupBy("key").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
     names = [F.col("key").getField(c).alias(c) for c in keys]
-    none = F.array_repeat(F.lit(None).cast("double"), k)
-    return sums.select(*names, F.when(F.col("n") > 0, vector_to_array("s")).otherwise(none).alias(vector), "n")
+    whole = F.transform(vector_to_array("s"), lambda x: F.when(F.col("n") > 0, x))
+    return sums.select(*names, whole.alias(vector), "n")
 
 
 def _partial_sums(k: int):

@@ -463,6 +463,18 @@ WITH s AS (SELECT *, s_suppkey AS k FROM supplier)
 SELECT s_name AS business_id, k AS review_count, 2 * k AS visits, CASE WHEN k % 2 = 0 THEN 'yes' END AS wifi FROM s
 WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 5 <> 0 AND k % 3 <> 0 AND k % 7 <> 0
 UNION ALL SELECT 'malformed', NULL, count(*), NULL FROM s WHERE k % 11 = 0""",
+        "q66_sweep_ridge": f"""
+WITH {ONE}, {MEMBERSHIP}, {_test('')},
+whole AS (SELECT regr_slope(label, x) AS w, regr_intercept(label, x) AS b FROM one WHERE is_train),
+parts AS (
+  SELECT community_id, regr_slope(label, x) AS w, regr_intercept(label, x) AS b
+  FROM one JOIN membership USING (user_id) WHERE is_train GROUP BY community_id),
+p AS (
+  SELECT NULL AS c, CAST(label AS DOUBLE) / n AS l, w * sign(f) + b AS p FROM test, whole
+  UNION ALL
+  SELECT 33, CAST(min(label) AS DOUBLE) / min(n), avg(w * sign(f) + b)
+  FROM test JOIN membership USING (user_id) JOIN parts USING (community_id) GROUP BY user_id, business_id)
+{" UNION ALL ".join(f"SELECT CAST(1 AS BIGINT) AS k, CAST(c AS BIGINT) AS c, 'linear' AS model, '{m}' AS metric, {e} AS value FROM p GROUP BY c" for m, e in _metrics('l', 'p').items())}""",
         "q38_json_scan": f"""
 SELECT {REVIEW_ID} AS review_id, c_name AS user_id, s_name AS business_id, {STARS} AS stars,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,

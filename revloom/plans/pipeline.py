@@ -112,6 +112,8 @@ class Pipeline:
     ) -> DataFrame:
         """Metrics of all settings, also added to the ``metrics`` log. ``None`` in ``cs`` is the global model.
 
+        Settings of this ``run_id`` that the log already holds are not run again.
+
         The pair sums of every setting stay in ``predictions`` (partitioned by run, ``k``, ``c`` and
         model; ``c`` is 0 for the global model) and are described in a CSV of ``summaries``.
         ``profile_from="train"`` keeps test reviews out of the profiles.
@@ -125,7 +127,7 @@ class Pipeline:
             sources.write_summary(describe(scored, ["label", "prediction", "num_of_reviews"]), self.path(f"summaries/{place}"))
             return scored
 
-        rows = sweep(
+        return sweep(
             lambda k: self.split_vectors(k, by),
             {c: self.membership(c) if c is not None else None for c in cs},
             ks,
@@ -135,9 +137,8 @@ class Pipeline:
             run_id,
             profile_from,
             keep,
+            self.path("metrics"),
         )
-        sources.append_metrics(rows, self.path("metrics"))
-        return rows
 
     def save_global(self, k: int, estimator: Estimator, name: str, mode: str = "l2sum", by: str = "hash") -> None:
         """Fit the global model, save it as ``models/{name}_k{k}`` and add its report to ``model_reports``."""

@@ -398,7 +398,7 @@ def q32_sweep(spark, sf_dir):
         lambda k: _split_vectors(spark, sf_dir, k),
         {None: None, 5: roles.region_membership(spark, sf_dir)},
         [4, 8],
-        {"linear": RIDGE, "forest": regression.random_forest(3, 4)},
+        {"linear": RIDGE, "forest": forests.Forest()},
     )
 
 
@@ -701,3 +701,12 @@ def q65_wide_mean(spark, sf_dir):
     """Profiles of 384 components: the vector six times over."""
     vectors = roles.review_vectors(spark, sf_dir).select("business_id", F.flatten(F.array_repeat("features", 6)).alias("features"))
     return _long(profiles.entity_profiles(vectors, "business_id", "mean", 6 * K), "business_id")
+
+
+@query
+def q66_sweep_ridge(spark, sf_dir):
+    """A sweep whose models SQL can fit: one feature, over all rows and per community."""
+    rows = sweep(
+        lambda k: _split_vectors(spark, sf_dir, k), {None: None, 33: roles.membership(spark, sf_dir)}, [1], {"linear": RIDGE}, "mean", 0.0
+    )
+    return _rounded(rows.select("k", "c", "model", "metric", "value"), 6, "value")
