@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from revloom.functions.vectors import (
@@ -12,7 +15,8 @@ from revloom.functions.vectors import (
     sum_normalise,
     vector_sums,
 )
-from revloom.operators.skew import skew_join
+from revloom.operators.skew import SALT, SALTS, hot_keys, skew_join
+from revloom.session import scratch_path
 
 MODES = ("sumnorm", "l2sum", "mean")
 # How each mode normalises the blended vector.
@@ -102,3 +106,48 @@ def blend_reviews(vectors: DataFrame, mode: str, k: int, min_abs_sum: float = 0.
     if mode != "sumnorm":
         vectors = vectors.withColumn("normFeatures", l2_normalise("features"))
     return vectors.join(blended, ["user_id", "business_id"])
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, dealt to buckets by ``keys`` and sorted in them.
+
+    Joins and groups by exactly these keys take it as it lies, without an exchange. Another name is taken each time.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # One file a bucket: each task has one bucket's rows.
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", scratch_path(spark, "bucketed")).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+def blend_bucketed_reviews(
+    vectors: DataFrame, mode: str, k: int, min_abs_sum: float = 0.0, buckets: int | None = None, rows_per_task: int = 1_000_000
+) -> DataFrame:
+    """As ``blend_reviews``, with two exchanges of reviews: to the buckets of their users, and to their businesses.
+
+    Profiles are added up where the reviews lie; what is exchanged of them is one row per entity and task. Users with
+    more than ``rows_per_task`` reviews are spread over as many buckets as they need.
+    """
+    _check_mode(mode)
+    columns = vectors.columns
+    hot = hot_keys(vectors, ["user_id"], rows_per_task)
+    spread = F.pmod(F.xxhash64("review_id"), F.coalesce(F.col(SALTS), F.lit(1)))
+    salted = vectors.join(F.broadcast(hot), "user_id", "left").withColumn(SALT, spread.cast("bigint")).drop(SALTS)
+    reviews = bucketed(salted, ["user_id", SALT], buckets)
+    users = entity_profiles(reviews, "user_id", mode, k, min_abs_sum=min_abs_sum).select("user_id", F.col("profile").alias("user_features"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(SALTS), F.lit(1)) - 1)
+    users = users.join(F.broadcast(hot), "user_id", "left").withColumn(SALT, F.explode(salts)).drop(SALTS)
+    businesses = entity_profiles(reviews, "business_id", mode, k, min_abs_sum=min_abs_sum)
+    businesses = businesses.select("business_id", F.col("profile").alias("business_features"))
+    both = reviews.join(users, ["user_id", SALT]).join(businesses, "business_id")
+    both = both.withColumn("blended_features", hadamard("user_features", "business_features"))
+    if mode == "sumnorm":
+        both = sum_normalise(both, "blended_features", "blended_features", min_abs_sum)
+        own = []
+    else:
+        both = both.withColumn("blended_features", l2_normalise("blended_features"))
+        own = [l2_normalise("features").alias("normFeatures")]
+    first = ["user_id", "business_id"]
+    return both.select(*first, *[c for c in columns if c not in first], *own, "user_features", "business_features", "blended_features")

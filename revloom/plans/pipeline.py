@@ -77,7 +77,7 @@ class Pipeline:
 
     def blends(self, k: int, mode: str = "l2sum") -> None:
         """``blended``: every review with both profiles and their blend."""
-        rows = profiles.blend_reviews(self.review_vectors(k), mode, k)
+        rows = profiles.blend_bucketed_reviews(self.review_vectors(k), mode, k)
         sources.write_table(rows, self.path(f"blended/mode={mode}/k={k}"))
 
     def communities(self, c: int, lines: str | None = None, min_reviews: int = 100, rounds: int = 50) -> None:

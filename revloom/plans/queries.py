@@ -338,6 +338,7 @@ def q57_embed_reviews(spark, sf_dir):
     """The whole way from text to vectors."""
     docs = roles.documents(spark, sf_dir)
     embedded, model = embed.embed_reviews(docs, 16, "text", STOP_WORDS)
+    embedded = pin(embedded.select("doc_id", "words", "features"))
     return _embedded(embedded, model, embedded, 16)
 
 
@@ -572,7 +573,7 @@ def q49_community_arrays(spark, sf_dir):
 
 @query
 def q50_blended_reviews(spark, sf_dir):
-    rows = profiles.blend_reviews(roles.review_vectors(spark, sf_dir), "l2sum", K)
+    rows = profiles.blend_bucketed_reviews(roles.review_vectors(spark, sf_dir), "l2sum", K)
     # Weighted by place, so that every component of both vectors counts.
     weighted = {
         name: F.round(total(F.transform(name, lambda x, i: x * (i + 1))), 5) for name in ("normFeatures", "blended_features")
@@ -609,7 +610,7 @@ def q53_embedding_pipeline(spark, sf_dir):
     cleaned = embed.clean_column(roles.documents(spark, sf_dir), "text", STOP_WORDS)
     cleaned = pin(cleaned.select("doc_id", "clean_text"))
     model = embed.embedding_pipeline(K, "clean_text").fit(cleaned)
-    embedded = embed.arrays(model.transform(cleaned), "features")
+    embedded = pin(embed.arrays(model.transform(cleaned), "features").select("doc_id", "words", "features"))
     return _embedded(embedded, model.stages[-1], embedded, K)
 
 

@@ -162,3 +162,35 @@ def test_plans_do_not_grow_with_the_width(spark):
         return v.vector_sums(df, ["id"], "x", k)._jdf.queryExecution().executedPlan().toString()
 
     assert abs(len(plan(128)) - len(plan(1024))) < 50
+
+
+@pytest.mark.parametrize("mode", profiles.MODES)
+def test_bucketed_blends_equal_plain_ones(spark, mode):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i}", 0 if i % 3 == 0 else int(rng.integers(1, 9)), int(rng.integers(0, 5)), [float(x) for x in rng.normal(1, 1, 3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "review_id string, user_id bigint, business_id bigint, features array<double>")
+    plain = profiles.blend_reviews(df, mode, 3, 1e-6)
+    for rows_per_task in (1_000_000, 10):  # with ten rows a task every user is spread
+        got = profiles.blend_bucketed_reviews(df, mode, 3, 1e-6, rows_per_task=rows_per_task)
+        assert set(got.columns) == set(plain.columns)
+        a, b = ({r.review_id: r for r in x.collect()} for x in (plain, got))
+        assert set(a) == set(b)
+        for key, row in a.items():
+            for c in ("user_features", "business_features", "blended_features"):
+                assert np.allclose(row[c], b[key][c])
+
+
+def test_bucketed_reviews_are_exchanged_once_more_only(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([("r", 1, 2, [1.0, 2.0])], "review_id string, user_id bigint, business_id bigint, features array<double>")
+        plan = profiles.blend_bucketed_reviews(df, "l2sum", 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert "Bucketed: true" in plan
+    # Exchanges: reviews to businesses, and of each kind of profile its partial sums (and users to buckets).
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 4 and sum("business_id" in x for x in exchanges) == 2
