@@ -11,7 +11,6 @@ of states and a text is scored by looking its bytes up.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,7 +21,6 @@ from revloom.llm.common import carried, is_rest, slices, text_of, with_row
 
 DEPTH = 3
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters stay, other ASCII becomes a space; bytes of other characters stay.
 PLAIN = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 CHUNK = 1_000_000
@@ -124,7 +122,7 @@ class Model:
         best = bits.argmin(axis=1)
         odds = np.exp2(np.minimum(bits.min(axis=1)[:, None] - bits, 0.0)).sum(axis=1)
         return [
-            (self.langs[b], float(1.0 / o)) if LETTER.search(t) else (UNKNOWN, 0.0)
+            (self.langs[b], float(1.0 / o)) if any(map(str.isalpha, t)) else (UNKNOWN, 0.0)
             for t, b, o in zip(texts, best, odds)
         ]
 

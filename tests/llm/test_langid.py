@@ -90,3 +90,9 @@ def test_odd_rows(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     nothing = langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == len(rows)
+
+
+def test_numerals_and_marks_are_no_letters():
+    model = model_of({"a": "the cat sat on the mat", "b": "der hund und die katze"})
+    texts = ["½", "²", "①", "12 + 3!", "_", "\u0301", "" , "½ a", "中", "ª"]
+    assert [name == langid.UNKNOWN for name, _ in model.predict(texts)] == [not any(map(str.isalpha, t)) for t in texts] == [True] * 7 + [False] * 3
