@@ -32,10 +32,11 @@ class Pipeline:
     def table(self, name: str) -> DataFrame:
         return sources.read_table(self.spark, self.path(name))
 
-    def users(self, source: str, as_of: date | str, edge_lists: Sequence[int] = (20, 100)) -> None:
+    def users(self, source: str, as_of: date | str, edge_lists: Sequence[int] = (20, 100), multi_line: bool = False) -> None:
         """``users`` ranked by compliments, all known ``friends`` and the edges of active users."""
         # Written once: the index, both sides of the edges and the profile read the users again.
-        sources.write_table(social.index_users(sources.read_users(self.spark, source)), self.path("users_indexed"))
+        raw = sources.read_users(self.spark, source, multi_line=multi_line)
+        sources.write_table(social.index_users(raw), self.path("users_indexed"))
         indexed = self.table("users_indexed")
         sources.write_table(social.friend_edges(indexed), self.path("friend_edges"))
         edges = self.table("friend_edges")
@@ -46,8 +47,9 @@ class Pipeline:
             active = social.active_friend_edges(self.table("users"), least)
             sources.write_edges(active, self.path(f"friends_gt{least}"))
 
-    def businesses(self, source: str, group: str = "state", max_dist: float = 10.0) -> None:
-        rows = geo.prepare_business(sources.read_businesses(self.spark, source), group, max_dist)
+    def businesses(self, source: str, group: str = "state", max_dist: float = 10.0, multi_line: bool = False) -> None:
+        raw = sources.read_businesses(self.spark, source, multi_line=multi_line)
+        rows = geo.prepare_business(raw, group, max_dist)
         sources.write_table(rows, self.path("businesses"))
 
     def reviews(self, source: str, min_user: int = 100, min_business: int = 100, multi_line: bool = False) -> None:

@@ -109,3 +109,18 @@ def test_pipeline(spark, tmp_path):
     assert run.table("model_reports").where("run_id = 'lr_k4' and parameter = 'coefficient'").count() == 4
     assert run.save_models(4, 9, random_forest(2, 2)) == [1, 2]
     assert run.table("model_reports").where("text = 'variance'").count() == 2
+
+
+def test_records_that_span_lines(spark, tmp_path):
+    user_file, business_file, _ = _town(tmp_path)
+    for name, file in (("users", user_file), ("shops", business_file)):
+        records = [json.loads(line) for line in open(file)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(records, indent=1))
+    one, other = Pipeline(spark, str(tmp_path / "one")), Pipeline(spark, str(tmp_path / "other"))
+    one.users(user_file, "2020-01-01", edge_lists=())
+    one.businesses(business_file)
+    other.users(str(tmp_path / "users.json"), "2020-01-01", edge_lists=(), multi_line=True)
+    other.businesses(str(tmp_path / "shops.json"), multi_line=True)
+    for name, key in (("users", "user_id"), ("businesses", "business_id")):
+        a, b = (sorted((r.asDict() for r in p.table(name).collect()), key=lambda r: str(r[key])) for p in (one, other))
+        assert a == b and a
