@@ -7,16 +7,21 @@ page order and multiplied (fused); paths in an ``article`` or ``main`` element w
 done on every page. A path is content where it has such text and its fused ratio reaches a share of
 the page's spread. Of the other paths only what bridges content stays, and no lists of links: blocks
 that are headings, items, cells or the like in the very container that content stands in, and
-headings right before content. Elements that name boilerplate (menus, headers, footers, adverts,
-forms, comments, ...) are left out beforehand.
+headings right before content.
+
+Names of boilerplate (menus, headers, footers, adverts, forms, comments, ...) lower the fused score
+of what stands in the element so named to a tenth. An element that holds most of the page's score
+even so is no boilerplate, whatever its name; the others are left out before content is chosen.
+Scripts, styles, controls and hidden elements never count.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,7 +47,8 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img script style noscript template".split()
 )
-BOILERPLATE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "canvas"} | RAW
+NEVER = {"head", "button", "select", "object", "canvas"} | RAW
+BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 CONTENT = {"article", "main"}
 # Words of classes, ids and roles that name what is not the article.
 NAMES = set(
@@ -65,25 +71,34 @@ CONTAINERS = {"div", "section", "center", "body", "html", "article", "main", ""}
 KERNEL = 1  # paths to each side that a ratio is smoothed over
 SHARE = 0.5  # of the standard deviation that a content path reaches
 WEIGHT = 2.0  # of paths in an article or main element
+LOWERED = 0.1  # weight of the score in an element that names boilerplate
+LEAST_CHARS = 100  # outside links, for an element whose whole name is boilerplate to be content all the same
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Element:
+    """An element; its path is a number, one for each path of the page."""
+
     tag: str
     number: int
-    path: str
+    path: int
     parent: Element | None
-    dropped: bool
-    content: bool
+    dropped: bool = False
+    content: bool = False
     link: bool = False
+    named: int = 0  # 0, WEAK or STRONG
+    suspect: Element | None = None  # the innermost named element, itself included
+    block: Element = None  # the innermost element around it that is not inline
+    place: Element = None  # the innermost container
 
-    @property
-    def block(self) -> Element:
-        """The innermost element around it that is not inline."""
-        e = self
-        while e.parent is not None and e.tag in INLINE:
-            e = e.parent
-        return e
+    def __post_init__(self) -> None:
+        up = self.parent
+        if self.named:
+            self.suspect = self
+        elif up is not None:
+            self.suspect = up.suspect
+        self.block = up.block if up is not None and self.tag in INLINE else self
+        self.place = self if up is None or self.tag in CONTAINERS or self.tag == "td" else up.place
 
 
 @dataclass(slots=True)
@@ -107,28 +122,42 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
 
 
-def _names(attrs: dict[str, str]) -> set[str]:
-    words = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return {w.lower() for w in NAME_PART.findall(words)}
+WEAK, STRONG = 1, 2
+
 
+def _named(attrs: dict[str, str], names: set[str]) -> int:
+    """How far classes, id and role name boilerplate: not, in part of a name, or by a whole name."""
+    found = 0
+    for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split():
+        parts = {w.lower() for w in NAME_PART.findall(name)}
+        if parts & names:
+            found = max(found, STRONG if parts <= names else WEAK)
+    return found
 
-def _is_dropped(tag: str, attrs: dict[str, str], parent: Element) -> bool:
+
+def _is_dropped(tag: str, attrs: dict[str, str]) -> bool:
     if tag in CONTENT or tag in ("html", "body"):
         return False
-    if tag == "header" and parent.content:
-        return bool(_names(attrs) & (NAMES - {"header"}))
-    if tag in BOILERPLATE or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+    if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     style = attrs.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    return bool(attrs) and bool(_names(attrs) & NAMES)
+    return "display:none" in style or "visibility:hidden" in style
+
+
+def _names(tag: str, attrs: dict[str, str], parent: Element) -> int:
+    if tag in CONTENT or tag in ("html", "body"):
+        return 0
+    if tag == "header" and parent.content:
+        return _named(attrs, NAMES - {"header"})
+    return STRONG if tag in BOILERPLATE else _named(attrs, NAMES) if attrs else 0
 
 
 def read_page(source: str) -> Page:
     """Text nodes with their elements; open tags are closed as browsers do in the common cases."""
     page, count = Page(), 0
-    top = Element("", 0, "", None, False, False)
+    top = Element("", 0, 0, None)
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
     place, breaks = 0, True
 
     def text(piece: str) -> None:
@@ -137,6 +166,14 @@ def read_page(source: str) -> Page:
             page.nodes.append((html.unescape(piece), top, breaks))
             breaks = False
 
+    def leave(last: Element) -> None:
+        nonlocal top
+        while top is not last:
+            opened[top.tag] -= 1
+            top = top.parent
+        opened[last.tag] -= 1
+        top = last.parent
+
     position, size = 0, len(source)
     while position < size:
         m = TOKEN.search(source, position)
@@ -153,11 +190,11 @@ def read_page(source: str) -> Page:
         if tag not in INLINE:
             breaks = True
         if end:
-            found = top
-            while found.parent is not None and found.tag != tag:
-                found = found.parent
-            if found.parent is not None:
-                top = found.parent
+            if opened[tag]:
+                found = top
+                while found.tag != tag:
+                    found = found.parent
+                leave(found)
             continue
         if tag in VOID:
             continue
@@ -170,20 +207,22 @@ def read_page(source: str) -> Page:
         closing = CLOSES.get(tag, {"p"} if tag in ENDS_PARAGRAPH else set())
         if tag in ENDS_PARAGRAPH:
             closing = closing | {"p"}
-        if closing:
+        if any(opened[t] for t in closing):
             found, stops = top, STOPS.get(tag, {"body", "article", "main", "section", "div", "table", "td", "li"} - closing)
             while found.parent is not None and found.tag not in closing and found.tag not in stops:
                 found = found.parent
             if found.parent is not None and found.tag in closing:
-                top = found.parent
+                leave(found)
         if rest.endswith("/") and tag in ("svg", "math"):
             continue
         attrs = _attributes(rest) if rest else {}
         count += 1
         kind = tag + "".join(f".{c}" for c in attrs.get("class", "").split())
+        path = paths.setdefault((top.path, kind), len(paths) + 1)
+        opened[tag] += 1
         top = Element(
-            tag, count, f"{top.path}/{kind}", top, top.dropped or _is_dropped(tag, attrs, top), top.content or tag in CONTENT,
-            top.link or tag == "a",
+            tag, count, path, top, top.dropped or _is_dropped(tag, attrs), top.content or tag in CONTENT,
+            top.link or tag == "a", _names(tag, attrs, top),
         )
     return page
 
@@ -203,12 +242,12 @@ def _blocks(nodes: list[tuple[str, Element, bool]]) -> dict[int, Block]:
     return blocks
 
 
-def _path_scores(blocks: dict[int, Block]) -> dict[str, float]:
+def _path_scores(blocks: dict[int, Block]) -> dict[int, float]:
     """Fused, smoothed and weighted ratio of every path."""
-    length: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    count: dict[str, int] = defaultdict(int)
-    weight: dict[str, float] = {}
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    count: dict[int, int] = defaultdict(int)
+    weight: dict[int, float] = {}
     for block in blocks.values():
         path = block.element.path
         length[path] += block.own
@@ -221,7 +260,7 @@ def _path_scores(blocks: dict[int, Block]) -> dict[str, float]:
     return {p: weight[p] * t * (1.0 + m) for p, t, m in zip(paths, text_ratio, mark_ratio)}
 
 
-def _content_paths(blocks: dict[int, Block]) -> set[str]:
+def _content_paths(blocks: dict[int, Block]) -> set[int]:
     """Paths with text outside links whose score reaches the threshold; all paths where links are all there is."""
     scores = _path_scores(blocks)
     worded = {b.element.path for b in blocks.values() if b.own}
@@ -250,14 +289,13 @@ def _kept(blocks: dict[int, Block]) -> set[int]:
     around: set[int] = set()  # every element that holds content
     places: set[int] = set()  # the containers that content stands in
     for k in kept:
-        e, placed = blocks[k].element, False
-        while e is not None and not (placed and e.number in around):
+        e = blocks[k].element
+        places.add(e.place.number)
+        while e is not None and e.number not in around:
             around.add(e.number)
-            if not placed and (e.tag in CONTAINERS or e.tag == "td"):
-                places.add(e.number)
-                placed = True
             e = e.parent
     bridges: set[int] = set()
+    holder: dict[int, Element] = {}  # the container, or what holds content, around an element
     heads = False  # what follows is content
     for k in reversed(blocks):
         if k in kept:
@@ -268,27 +306,84 @@ def _kept(blocks: dict[int, Block]) -> set[int]:
         heading = e.tag in HEADINGS
         if block.linked <= block.own:
             # Cells of a table without content of its own are part of what is around it.
-            while e.tag not in CONTAINERS and e.number not in around:
+            climbed = []
+            while e.number not in holder and e.tag not in CONTAINERS and e.number not in around:
+                climbed.append(e.number)
                 e = e.parent
+            e = holder.get(e.number, e)
+            holder.update(dict.fromkeys(climbed, e))
             if e.number in places or (heading and heads):
                 bridges.add(k)
         heads = heads and heading
     return kept | bridges
 
 
+def _left_out(nodes: list[tuple[str, Element, bool]]) -> set[int]:
+    """Numbers of the named elements that do not hold most of the page's lowered score, and of those inside."""
+    if all(e.suspect is None for _, e, _ in nodes):
+        return set()
+    blocks = _blocks(nodes)
+    scores = _path_scores(blocks)
+    clean = 0.0  # score of what stands in no named element
+    own: dict[int, float] = defaultdict(float)
+    chars: dict[int, int] = defaultdict(int)
+    found: dict[int, Element] = {}
+    for text, element, _ in nodes:
+        block, named = blocks[element.block.number], element.suspect
+        n = 0 if element.link else len(text.strip())
+        score = scores[block.element.path] * n / block.own if n else 0.0
+        if named is None:
+            clean += score
+            continue
+        own[named.number] += score
+        chars[named.number] += n
+        while named is not None and named.number not in found:
+            found[named.number] = named
+            named = named.parent.suspect
+    total, inside = dict(own), defaultdict(list)
+    for k in sorted(found, reverse=True):  # what is inside has a larger number
+        around = found[k].parent.suspect
+        total.setdefault(k, 0.0)
+        if around is not None:
+            inside[around.number].append(k)
+            total[around.number] = total.get(around.number, 0.0) + total[k]
+            chars[around.number] += chars[k]
+    outer = [(-total[k], k) for k, e in found.items() if e.parent.suspect is None]
+    heapq.heapify(outer)
+    lowered, left = LOWERED * -sum(t for t, _ in outer), set()
+    while outer:
+        score, k = heapq.heappop(outer)
+        enough = found[k].named == WEAK or chars[k] >= LEAST_CHARS
+        if enough and -LOWERED * score > (clean + lowered) / 2:
+            clean += own.get(k, 0.0)
+            lowered += LOWERED * (sum(total[c] for c in inside[k]) + score)
+            for c in inside[k]:
+                heapq.heappush(outer, (-total[c], c))
+        else:
+            left.add(k)
+    for k in sorted(found):
+        around = found[k].parent.suspect
+        if around is not None and around.number in left:
+            left.add(k)
+    return left
+
+
 def main_text(source: str | None) -> str:
     """Main text of one page; empty if there is none."""
     if not source:
         return ""
     nodes = read_page(source).nodes
     usable = [x for x in nodes if not x[1].dropped and x[0].strip()]
+    left = _left_out(usable)
+    usable = [x for x in usable if x[1].suspect is None or x[1].suspect.number not in left]
     if not usable:
         return ""
     kept = _kept(_blocks(usable))
     out, gap = [], False
     for text, element, starts in nodes:
         gap = gap or starts
-        if not element.dropped and element.block.number in kept:
+        out_of = element.dropped or (element.suspect is not None and element.suspect.number in left)
+        if not out_of and element.block.number in kept:
             out.append(f"\n{text}" if gap else text)
             gap = False
     return " ".join("".join(out).split())

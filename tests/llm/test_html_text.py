@@ -2,6 +2,7 @@
 
 import html
 import re
+import tracemalloc
 
 import duckdb
 import pytest
@@ -79,6 +80,56 @@ def test_ratios_decide_on_every_page(source, want):
     assert html_text.main_text(source) == want
 
 
+SIDE = "<div class=sidebar><p>Other words, not the article.</p></div>"
+TEXT = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        (f'<div class="layout has-sidebar"><article><h1>T</h1><p>{LONG}</p></article>{SIDE}</div>', f"T {TEXT}"),
+        (f'<div class="col side-by-side"><article><p>{LONG}</p></article></div>', TEXT),
+        ('<div id="page" class="no-comments"><article><p>Short.</p></article></div>', "Short."),
+        (f'<div class="cookies-recipe"><h2>Dough</h2><p>{LONG}</p></div><footer>f</footer>', f"Dough {TEXT}"),
+        (f'<div class="post tag-ads"><p>{LONG}</p></div><div class=ad>Buy it, now.</div>', TEXT),
+        (f'<body><form id="aspnetForm"><nav><a href=/>Home</a></nav><div><p>{LONG}</p></div></form></body>', TEXT),
+        # A sidebar that is never closed, and a name in a name.
+        (f"<div class=sidebar><div class=side-by-side><div class=text><p>{LONG}</p></div><div class=ads>Buy.</div></div>", TEXT),
+        # What does not hold most of the score goes, also where it is longer than the article.
+        (f"<article><p>{LONG}</p></article><div id=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", TEXT),
+        (f'<div class=has-sidebar><div class=text><p>{LONG}</p></div><div class="sidebar">{LONG}</div></div>', TEXT),
+        # Short notices and lists of links are no article, whatever else there is.
+        ("<div class=notice>Closed today.</div><nav><a href=/>" + LONG + "</a></nav>", ""),
+        (f"<div hidden><p>{LONG}</p></div>", ""),
+    ],
+)
+def test_names_lower_a_score_and_drop_no_article(source, want):
+    assert html_text.main_text(source) == want
+
+
+LINE = "<div class=%s>%s</div>"
+
+
+@pytest.mark.parametrize("inner", ["12 views", "May 5", "<a href=/>Next</a>", "<a href=/>One</a> <a href=/>Two</a>", "Photo", "1 min"])
+@pytest.mark.parametrize("where", ["before", "between", "after"])
+def test_only_ratios_tell_the_article(inner, where):
+    """Neither names nor tags say what is content: all is in divs."""
+    text, line = f"<div class=b><p>{LONG}</p><p>{LONG}</p></div>", LINE % ("c", inner)
+    parts = {"before": [line, text, text], "between": [text, line, text], "after": [text, text, line]}[where]
+    assert html_text.main_text(f"<div class=a>{''.join(parts)}</div>") == (LONG * 4).strip()
+
+
+def test_depth_costs_no_square():
+    """Paths are numbers; what is nested 100,000 deep takes neither long nor much memory."""
+    tracemalloc.start()
+    assert html_text.main_text("<div>" * 100_000 + "deep") == "deep"
+    assert html_text.main_text("<p>a" + "<span>w " * 16_000).split() == ["aw"] + ["w"] * 15_999
+    assert html_text.main_text("<blockquote>a " * 50_000).split() == ["a"] * 50_000
+    html_text.main_text("<div class=ad>a " * 30_000 + "</i>" * 30_000)
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
 def test_long_and_broken_pages():
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     assert html_text.main_text(deep) == "deep"
