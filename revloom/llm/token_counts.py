@@ -3,8 +3,8 @@
 Two passes over the texts. The first counts pre-tokens per task and sums the counts by a shuffle;
 the public library then gives the number of pieces of each distinct one. The second pass has the
 pre-tokens of every document with their frequencies. Most of the mass is in few pre-tokens, so the
-``common`` most frequent of them (a fixed number of short strings) are multiplied and added where
-the document is read; all others leave as (document, pre-token, frequency) and meet their number
+most frequent of them (short strings, ``common`` at most) are multiplied and added where the document
+is read; all others leave as (document, pre-token, frequency) and meet their number
 of pieces in a shuffle join. No ids are kept anywhere.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from revloom.llm import pretokens
 from revloom.llm.common import keyed, slices
@@ -23,6 +23,7 @@ from revloom.session import pin
 
 COMMON = 1 << 18
 COMMON_CHARS = 64  # longer pre-tokens are never sent to all workers
+BANDS = 8  # of frequencies in each power of two
 HELD = 150_000  # distinct pre-tokens that a task holds before it hands them on
 
 
@@ -114,6 +115,23 @@ def piece_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     )
 
 
+def _frequent(vocabulary: DataFrame, common: int) -> Column:
+    """Whether a pre-token is in the most frequent bands that have ``common`` short ones at most, all together.
+
+    Pre-tokens are counted per band of frequency first, so nothing is sorted and equal frequencies stay together.
+    """
+    band = F.floor(F.log2("n") * BANDS)
+    short = F.length("piece") <= COMMON_CHARS
+    sizes = vocabulary.where(short).groupBy(band.alias("band")).count().collect()  # a row per band
+    total, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["band"]):
+        total += r["count"]
+        if total > common:
+            break
+        least = r["band"]
+    return F.lit(False) if least is None else short & (band >= least)
+
+
 PER_DOCUMENT = "doc_id bigint, text_hash bigint, n_bytes bigint, tokens bigint, piece string, n bigint"
 
 
@@ -158,19 +176,17 @@ def count_tokens(
     by default. ``over_limit`` is ``n_tokens > limit``. A null text is empty and has no tokens.
     Repeated rows are counted once and given back as often as they occur; null ids are kept; other
     columns are ignored; an empty table gives an empty one. ``common`` bounds what is sent to the
-    workers: that many pre-tokens of at most ``COMMON_CHARS`` characters; it changes no result.
+    workers: at most that many pre-tokens of up to ``COMMON_CHARS`` characters; it changes no result.
     """
     spark = docs.sparkSession
     vocabulary = pin(piece_counts(docs, path, id_col, text_col))
-    short = F.length("piece") <= COMMON_CHARS
-    top = vocabulary.where(short).orderBy(F.desc("n"), "piece").limit(common).select("piece", "n", "pieces").toArrow()
+    frequent = _frequent(vocabulary, common)
+    top = vocabulary.where(frequent).select("piece", "pieces").toArrow()
     known = dict(zip(top.column("piece").to_pylist(), top.column("pieces").to_pylist()))
     texts = keyed(docs, id_col, text_col).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text"
     )
-    # Frequent pre-tokens above the last common count are all known; the join needs the others only.
-    last = min(top.column("n").to_pylist()) if top.num_rows == common else 0
-    rest = vocabulary.where(~(short & (F.col("n") > last))).select("piece", "pieces")
+    rest = vocabulary.where(~frequent).select("piece", "pieces")
     found = texts.mapInArrow(_per_document(path, spark.sparkContext.broadcast(known)), PER_DOCUMENT)
     tokens = F.coalesce("tokens", F.col("n") * F.col("pieces"), F.lit(0))
     counted = (

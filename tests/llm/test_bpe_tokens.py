@@ -62,7 +62,7 @@ def test_long_pieces_take_the_same_merges():
         assert vocab.encode_pieces(pieces) == [vocab.merge_long(p) for p in pieces]
 
 
-@pytest.mark.parametrize("common", [1, 1 << 18])
+@pytest.mark.parametrize("common", [1, 100, 1 << 18])
 def test_counts_equal_the_library(rows, common):
     data, df = rows
     path = vocabulary_path(JSON_VOCABULARY)
@@ -81,6 +81,23 @@ def test_counts_of_an_empty_table(spark):
     assert token_counts.count_tokens(empty, vocabulary_path(JSON_VOCABULARY)).count() == 0
 
 
+def test_frequent_pre_tokens_are_whole_bands(spark):
+    """At most as many as asked for, equal frequencies together, long ones never."""
+    counts = [("x" * 65, 9000, 3)] * 1 + [(f"a{k}", 1000, 1) for k in range(5)] + [(f"b{k}", 10, 1) for k in range(20)] + [("c", 1, 1)]
+    vocabulary = spark.createDataFrame(counts, "piece string, n bigint, pieces int")
+    for common, want in ((4, 0), (5, 5), (24, 5), (25, 25), (26, 26), (100, 26)):
+        got = [r.piece for r in vocabulary.where(token_counts._frequent(vocabulary, common)).collect()]
+        assert len(got) == want and "x" * 65 not in got
+
+
+def test_long_pre_tokens_of_many_documents(spark):
+    path = vocabulary_path(JSON_VOCABULARY)
+    df = spark.createDataFrame([(k, "ab" * 50 + f" w{k % 3}", "x", 1) for k in range(200)], SCHEMA)
+    one = len(Tokenizer.from_file(path).encode("ab" * 50 + " w1", add_special_tokens=False).ids)
+    got = token_counts.count_tokens(df, path).collect()
+    assert len(got) == 200 and {r.n_tokens for r in got if r.doc_id % 3 == 1} == {one}
+
+
 def test_fast_pattern_equals_the_public_one():
     for cp in [*range(0x250), *range(0x2010, 0x2028), 0x20AC]:
         for s in (chr(cp), f"a{chr(cp)}b", f" {chr(cp)}1", chr(cp) * 3 + " x"):
