@@ -9,15 +9,16 @@ place, and the item is found if in some window of aligned words enough are equal
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revloom.llm.common import UPPER
 from revloom.session import pin
 
-# Fixed masks: which words of a place count.
-MASKS = ("1110011", "1101011", "110010101")
-LEAST_WORDS = 5  # items with fewer words are not looked for
+# Fixed masks: which words of a place count. Whatever words SHARE allows to differ in a window of 10 to 20, one hits.
+MASKS = ("111011", "101111", "11100011")
+SHORT = 9  # items of up to so many words have masks of their own length instead
 WINDOW = 20  # words compared together
 SHARE = 80  # per cent of a window's words that are equal
 BROADCAST_SEEDS = 500_000  # seeds of the benchmark that go to all workers; more are joined by a shuffle
@@ -31,27 +32,42 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _masks(lengths: Sequence[int]) -> list[str]:
-    """The fixed masks, and one of ones for every item length too short for all of them."""
-    shortest = min(map(len, MASKS))
-    return [*MASKS, *("1" * n for n in sorted(set(lengths)) if LEAST_WORDS <= n < shortest)]
+def short_masks(words: int) -> list[str]:
+    """Masks as long as an item, one of which is free of any substitutions that ``SHARE`` allows.
 
+    The item is cut into two blocks more than words that may differ; each mask has the ones of two
+    blocks, so two blocks without a substitution are always left. Without any allowed it is all ones.
+    """
+    allowed = words * (100 - SHARE) // 100
+    if not allowed:
+        return ["1" * words]
+    block = [k * (allowed + 2) // words for k in range(words)]
+    return ["".join("01"[b in pair] for b in block) for pair in combinations(range(allowed + 2), 2)]
+
+
+def _masks(lengths: Sequence[int]) -> list[tuple[str, int]]:
+    """The fixed masks (of any longer item: 0), and those of every length of a short item."""
+    return [*((m, 0) for m in MASKS), *((m, n) for n in sorted(set(lengths)) for m in short_masks(n))]
 
-def _seeds(rows: DataFrame, masks: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """``(keep…, place, seed)`` of all places and masks, from an array ``hashes`` of word hashes."""
+
+def _seeds(rows: DataFrame, masks: Sequence[tuple[str, int]], keep: Sequence[str], items: bool = False) -> DataFrame:
+    """``(keep…, place, seed)`` of all places and masks, from an array ``hashes`` of word hashes.
+
+    Items take the masks of their length only.
+    """
+    n = F.size("hashes")
 
     def at(i: Column) -> Column:
-        n = F.size("hashes")
-        one = [
-            F.when(
-                i + len(m) <= n,
-                F.xxhash64(F.lit(k), *[F.get("hashes", i + j) for j, c in enumerate(m) if c == "1"]),
-            )
-            for k, m in enumerate(masks)
-        ]
+        one = []
+        for k, (m, length) in enumerate(masks):
+            fits = i + len(m) <= n
+            if items:
+                fits &= n == length if length else n > SHORT
+            one.append(F.when(fits, F.xxhash64(F.lit(k), *[F.get("hashes", i + j) for j, c in enumerate(m) if c == "1"])))
         return F.array(*one)
 
-    places = F.when(F.size("hashes") >= LEAST_WORDS, F.sequence(F.lit(0), F.size("hashes") - LEAST_WORDS))
+    least = min(len(m) for m, _ in masks)
+    places = F.when(n >= least, F.sequence(F.lit(0), n - least))
     seeded = rows.select(*keep, F.flatten(F.transform(places, at)).alias("seeds"))
     # Outer, as the plain form makes Spark compute the seeds a second time to test their number.
     long = seeded.select(*keep, F.posexplode_outer("seeds").alias("k", "seed")).where(F.col("seed").isNotNull())
@@ -86,23 +102,27 @@ def find_passages(
 ) -> DataFrame:
     """``(doc, text_hash, item_id, share)``: items found in documents, by id (null: ``NO_ID``) and text hash."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), word_array(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item"))
-    items = pin(items.where((F.size("item") >= LEAST_WORDS) & F.col("item_id").isNotNull()).distinct())
-    lengths = [r[0] for r in items.where(F.size("item") < min(map(len, MASKS))).select(F.size("item")).distinct().collect()]
+    items = pin(items.where((F.size("item") > 0) & F.col("item_id").isNotNull()).distinct())
+    lengths = [r[0] for r in items.where(F.size("item") <= SHORT).select(F.size("item")).distinct().collect()]
     masks = _masks(lengths)
     item_seeds = pin(
-        _seeds(items.select("item_id", "item", _hashes("item").alias("hashes")), masks, ["item_id", "item"])
+        _seeds(items.select("item_id", "item", _hashes("item").alias("hashes")), masks, ["item_id", "item"], items=True)
         .select("seed", F.col("place").alias("q"), "item_id", F.xxhash64("item").alias("item_hash")).distinct()
     )
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"),
         F.xxhash64(F.col(text_col)).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    hashed = rows.select("doc", "text_hash", word_array(F.col("text")).alias("words")).select("doc", "text_hash", _hashes("words").alias("hashes"))
+    # A short item may reach over an end of the document by the words that may differ.
+    over = max(lengths, default=0) * (100 - SHARE) // 100
+    ends = F.array_repeat(F.lit(0).cast("bigint"), over)
+    hashes = F.concat(ends, _hashes("words"), ends) if over else _hashes("words")
+    hashed = rows.select("doc", "text_hash", word_array(F.col("text")).alias("words")).select("doc", "text_hash", hashes.alias("hashes"))
     # The size of what is broadcast is known before; a larger benchmark takes a shuffle join.
     small = item_seeds.count() <= BROADCAST_SEEDS
     seeds = _seeds(hashed, masks, ["doc", "text_hash"])
     hits = seeds.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    hits = pin(hits.select("doc", "text_hash", "item_id", "item_hash", (F.col("place") - F.col("q")).alias("offset")).distinct())
+    hits = pin(hits.select("doc", "text_hash", "item_id", "item_hash", (F.col("place") - F.col("q") - over).alias("offset")).distinct())
     keyed = items.select("item_id", F.xxhash64("item").alias("item_hash"), "item")
     wanted = (
         hits.join(keyed, ["item_id", "item_hash"])
@@ -128,8 +148,8 @@ def decontaminate(
     no item; a document with any item is contaminated. An item is found where one seed of the
     masks hits and a window around it has at least ``SHARE`` per cent of equal words.
 
-    Null and empty texts hold nothing; items that are null, have a null id or fewer than
-    ``LEAST_WORDS`` words are not looked for. Rows that share an item id are that item, each with
+    Null and empty texts hold nothing; items that are null, have a null id or no
+    word are not looked for. Items of one to four words are found as they are. Rows that share an item id are that item, each with
     its text. Rows are treated one by one: repeated rows and null ids stay, other columns are
     ignored, an empty table gives an empty one, an empty benchmark finds nothing.
     """

@@ -142,13 +142,9 @@ SELECT s.doc_id, len(s.s) AS n_shingles, r.component_id, s.doc_id = r.component_
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON s.doc_id = r.a
 """
 
-# The same masks over words as text instead of hashes; windows of aligned words.
+# No masks: all places of a word in a document and an item, added up by alignment, then windows of aligned words.
 OP7_SQL = r"""
-WITH masks(ones, span) AS (
-    VALUES ([1, 2, 3, 6, 7], 7), ([1, 2, 4, 6, 7], 7), ([1, 2, 5, 7, 9], 9)
-), numbered AS (
-    SELECT row_number() OVER () AS m, ones, span FROM masks
-), doc_words AS (
+WITH doc_words AS (
     SELECT doc_id, regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') AS w
@@ -159,17 +155,12 @@ WITH masks(ones, span) AS (
         '[^\x20\x09-\x0D]+') AS w
     FROM benchmark
 ), doc_places AS (
-    SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM doc_words
+    SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM doc_words
 ), item_places AS (
-    SELECT item_id, w, unnest(range(0, len(w))) AS q FROM item_words
-), doc_seeds AS (
-    SELECT doc_id, p, m, array_to_string(list_transform(ones, lambda o: w[p + o]), ' ') AS seed
-    FROM doc_places JOIN numbered ON p + span <= len(w)
-), item_seeds AS (
-    SELECT item_id, q, m, array_to_string(list_transform(ones, lambda o: w[q + o]), ' ') AS seed
-    FROM item_places JOIN numbered ON q + span <= len(w)
+    SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS q FROM item_words
 ), hits AS (
-    SELECT DISTINCT doc_id, item_id, p - q AS d FROM doc_seeds JOIN item_seeds USING (m, seed)
+    SELECT doc_id, item_id, p - q AS d FROM doc_places JOIN item_places USING (word)
+    GROUP BY doc_id, item_id, d, n HAVING 100 * count(*) >= 80 * least(20, n)
 ), aligned AS (
     SELECT h.doc_id, h.item_id, h.d, least(20, len(i.w)) AS width,
         list_transform(range(1, len(i.w) + 1), lambda j:

@@ -1,6 +1,9 @@
 """Benchmark passages: planted, substituted, short and odd ones."""
 
 import random
+from itertools import combinations
+
+import pytest
 
 from revloom.llm import decontaminate
 
@@ -39,6 +42,50 @@ def test_planted_passages(spark):
     assert found(spark, docs, [(k, " ".join(i)) for k, i in items]) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_masks_leave_no_permitted_pattern_out(n):
+    masks = [m for m, k in decontaminate._masks([n] if n <= decontaminate.SHORT else []) if k == (n if n <= decontaminate.SHORT else 0)]
+    for changed in combinations(range(n), n // 5):
+        hits = (not any(m[j] == "1" and i + j in changed for j in range(len(m))) for m in masks for i in range(n - len(m) + 1))
+        assert any(hits), changed
+
+
+def brute(docs, items):
+    """Items by the rule alone, at every alignment."""
+    out = []
+    for i, text in docs:
+        words, ids = (text or "").lower().split(), []
+        for k, item in items:
+            item, best = item.lower().split(), 0
+            width = min(20, len(item))
+            for d in range(-len(item), len(words) + 1):
+                equal = [0 <= j + d < len(words) and words[j + d] == w for j, w in enumerate(item)]
+                best = max(best, *(100 * sum(equal[s : s + width]) / width for s in range(len(item) - width + 1)))
+            ids += [k] * (best >= 80)
+        out.append((i, ids))
+    return sorted(out, key=str)
+
+
+def test_items_of_every_length_against_the_rule(spark):
+    """Substituted, cut at either end of the document, or too far from the item."""
+    r = random.Random(8)
+    items = [(n, words(r, n)) for n in range(1, 24)]
+    docs = [(1000, "the capital of france is here"), (1001, "capital of spain"), (1002, "v")]
+    for n, item in items:
+        for more in (0, 0, 1, 2):
+            body = list(item)
+            for j in r.sample(range(n), min(n, min(20, n) // 5 + more // 2)):
+                body[j] = "other"
+            cut = r.randrange(3)
+            before, after = ([], words(r, 9)) if cut == 1 else (words(r, 9), [] if cut == 2 else words(r, 5))
+            body = body[n // 5 :] if cut == 1 and more else body[: n - n // 5] if cut == 2 and more else body
+            docs.append((len(docs), " ".join(before + body + after)))
+    named = [(k, " ".join(i)) for k, i in items] + [(50, "Capital of France")]
+    want = brute(docs, named)
+    assert sum(map(len, (ids for _, ids in want))) > 46 and (1000, [50]) in want and (1001, []) in want
+    assert found(spark, docs, named) == want
+
+
 def test_odd_rows(spark):
     passage = "one two three four five six seven eight nine ten"
     docs = [(1, None), (2, ""), (3, "a b"), (4, passage), (4, passage), (None, f"x {passage}"), (5, "w " * 50_000 + passage)]
