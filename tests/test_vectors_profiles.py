@@ -194,3 +194,47 @@ def test_bucketed_reviews_are_exchanged_once_more_only(spark):
     # Exchanges: reviews to businesses, and of each kind of profile its partial sums (and users to buckets).
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(exchanges) == 4 and sum("business_id" in x for x in exchanges) == 2
+
+
+@pytest.mark.parametrize("mode", profiles.MODES)
+def test_vectors_attached_behind_the_exchange_give_the_same_blends(spark, mode):
+    rng = np.random.default_rng(5)
+    words = spark.createDataFrame([(i, [float(x) for x in rng.normal(1, 1, 3)]) for i in range(7)], "vec_id bigint, features array<double>")
+    rows = [(f"r{i}", 0 if i % 3 == 0 else i % 7, i % 5, i % 8) for i in range(120)]  # number 7 has no vector
+    keyed = spark.createDataFrame(rows, "review_id string, user_id bigint, business_id bigint, vec_id bigint")
+    attach = lambda df: df.join(F.broadcast(words), "vec_id").drop("vec_id")
+    want = {r.review_id: r for r in profiles.blend_reviews(attach(keyed), mode, 3, 1e-6).collect()}
+    for rows_per_task in (1_000_000, 10):
+        found = profiles.blend_bucketed_reviews(keyed, mode, 3, 1e-6, rows_per_task=rows_per_task, attach=attach)
+        got = {r.review_id: r for r in found.collect()}
+        assert set(got) == set(want) and set(found.columns) >= {"features", "user_features", "business_features"}
+        assert all(np.allclose(row.blended_features, got[key].blended_features) for key, row in want.items())
+
+
+def test_review_vectors_are_not_exchanged_wide(spark, tmp_path):
+    """Embeddings come to the reviews of an entity: neither profile shuffles a row per review with its vector."""
+    from revloom.plans import roles
+
+    spark.createDataFrame([(i, [float(i + j) for j in range(64)]) for i in range(5)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(40).selectExpr("id as o_orderkey", "id % 6 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(200).selectExpr(
+        "id % 40 as l_orderkey", "id as l_partkey", "id % 9 as l_suppkey", "cast(id as int) as l_linenumber", "1.0D as l_quantity", "current_timestamp() as l_shipdate"
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for by in ("user_id", "business_id"):
+        rows = roles.review_vectors(spark, str(tmp_path), by=by)
+        plan = profiles.entity_profiles(rows, by, "mean", 64)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("RebalancePartitions")
+        assert "strategy=broadcast" in plan
+        got = {r[by]: r for r in profiles.entity_profiles(rows, by, "mean", 64).collect()}
+        assert len(got) == (6 if by == "user_id" else 9) and sum(r.n for r in got.values()) == 200
+
+
+def test_packed_sums_of_interleaved_keys_and_nulls(spark):
+    rows = [(i % 3, None if i % 5 == 0 else [float(i), None if i % 7 == 0 else 1.0]) for i in range(50)] + [(9, None)]
+    df = spark.createDataFrame(rows, "g bigint, x array<double>").repartition(1)
+    got = {r.g: (r.x, r.n) for r in v.packed_sums(df, ["g"], "x", 2).collect()}
+    for g in (0, 1, 2):
+        own = [x for h, x in rows if h == g and x is not None]
+        assert got[g] == ([sum(x[0] for x in own), sum(x[1] or 0.0 for x in own)], len(own))
+    assert got[9] == ([None, None], 0)
