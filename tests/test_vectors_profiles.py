@@ -238,3 +238,13 @@ def test_packed_sums_of_interleaved_keys_and_nulls(spark):
         own = [x for h, x in rows if h == g and x is not None]
         assert got[g] == ([sum(x[0] for x in own), sum(x[1] or 0.0 for x in own)], len(own))
     assert got[9] == ([None, None], 0)
+
+
+def test_is_finite(spark):
+    inf, nan = math.inf, math.nan
+    rows = [([1.0, -2.0], True), ([0.0, None], False), ([None, None], False), (None, False)]
+    rows += [([x, y], False) for bad in (inf, -inf, nan) for x, y in ((bad, 1.0), (1.0, bad), (bad, None), (bad, bad), (bad, -bad))]
+    df = spark.createDataFrame(rows, "x array<double>, want boolean").withColumn("got", v.is_finite("x", 2))
+    assert df.where("got is null or got <> want").count() == 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
