@@ -26,6 +26,8 @@ MIN_USER = 8
 MIN_BUSINESS = 590
 # Too close to zero to divide by: the quotient would be decided by rounding.
 MIN_ABS_SUM = 1e-6
+# So many reviews of pairs are summed in one task.
+REVIEWS_PER_PART = 250_000
 # Where the trees of one split may split.
 CUTS = [-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0]
 # Words the text queries leave out.
@@ -265,10 +267,15 @@ def q24_lr_by_community(spark, sf_dir):
 
 @query
 def q25_combine_predictions(spark, sf_dir):
-    # Reviews are summed per pair before they are repeated per community.
-    pairs = regression.test_pairs(roles.reviews(spark, sf_dir))
+    # Reviews are summed per pair before they are repeated per community; a pair stays in its part in all sums.
+    reviews = roles.reviews(spark, sf_dir)
+    parts = max(spark.sparkContext.defaultParallelism, -(-roles.table(spark, sf_dir, "lineitem").count() // REVIEWS_PER_PART))
+    pairs = regression.test_pairs(reviews.repartition(parts, *evaluate.PAIR))
     shift = F.col("community_id") % 3 / 4.0
-    predicted = pairs.join(roles.membership(spark, sf_dir), "user_id").select(
+    membership = roles.membership(spark, sf_dir)
+    if fits_workers(spark, 3 * roles.table(spark, sf_dir, "customer").count(), 32):
+        membership = F.broadcast(membership)
+    predicted = pairs.join(membership, "user_id").select(
         "user_id",
         "business_id",
         "community_id",
