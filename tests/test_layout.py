@@ -1,5 +1,7 @@
 """How queries deal their rows: the same results, in parts that grow with the rows."""
 
+from revloom.functions.vectors import l2_normalise
+from revloom.operators import regression
 from revloom.plans import queries, roles
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +14,16 @@ def test_pairs_are_summed_in_parts_of_bounded_size(spark, monkeypatch):
     lines = roles.table(spark, SF, "lineitem").count()
     assert f"{-(-lines // 100)})" in rows._jdf.queryExecution().toString().split("RepartitionByExpression", 1)[-1] or lines <= 100
     assert len(want) > 0 and sorted(rows.collect()) == want
+
+
+def test_reviews_are_joined_once_for_several_readers(spark):
+    rows = roles.review_vectors(spark, SF, 2, keep=True)
+    assert "l_orderkey" not in rows._jdf.queryExecution().toString()
+    plain = roles.review_vectors(spark, SF, 2)
+    assert sorted(rows.collect()) == sorted(plain.select(*rows.columns).collect())
+
+
+def test_fit_without_keeping_rows(spark):
+    rows = roles.review_vectors(spark, SF, 2, keep=True).withColumn("features", l2_normalise("features"))
+    kept, made = (regression.fit(rows, regression.linear_regression(), 2, keep=keep) for keep in (True, False))
+    assert all(abs(a - b) < 1e-9 for a, b in zip(kept.coefficients, made.coefficients))
