@@ -15,21 +15,39 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from revloom.operators.communities import undirected
-from revloom.operators.skew import SALTS, skew_join
-from revloom.session import pin, unpin
+from revloom.operators.skew import SALT, SALTS, skew_join
+from revloom.session import ROWS_PER_PART, deal, fits_workers, parts_of, pin, unpin
 
 LEAST = 1e-3  # smaller strengths are dropped
 CHANCE = 0.01  # share of the graph's density that is put down to chance; much more hides communities of few links
 ENTRY = 0.05  # strength a community enters a node with
 LIKELIHOOD = -1  # in place of a community: a link's share of the log-likelihood
 NODES = "id bigint, f map<int, double>"
-
-
-def _seeds(edges: DataFrame, degrees: DataFrame, c: int) -> list[int]:
+NODE_NUMBERS = 6  # what a node without strengths takes where it is sent to the edges, in numbers of 16 bytes
+
+
+def _both_ends(
+    edges: DataFrame, nodes: DataFrame, value: str, hot: DataFrame | None = None, parts: int | None = None,
+    fits: bool = False, keep_salt: bool = False,
+) -> DataFrame:
+    """Edges with the ``value`` of their ends: ``far`` for ``dst``, ``near`` for ``src``. Nodes that fit come to the edges."""
+    far = nodes.select(F.col("id").alias("dst"), F.col(value).alias("far"))
+    near = nodes.select(F.col("id").alias("src"), F.col(value).alias("near"))
+    if fits:
+        return edges.join(F.broadcast(far), "dst").join(F.broadcast(near), "src")
+    named = lambda end: None if hot is None else hot.withColumnRenamed("id", end)
+    both = skew_join(edges, far, ["dst"], named("dst"), salt_on=["src"], parts=parts)
+    return skew_join(both, near, ["src"], named("src"), salt_on=["dst"], parts=parts, keep_salt=keep_salt)
+
+
+def _seeds(
+    edges: DataFrame, degrees: DataFrame, c: int, hot: DataFrame | None = None, parts: int | None = None, fits: bool = False
+) -> list[int]:
     """``c`` nodes to start from: those with more friends than any friend of theirs, then the largest ones."""
-    rank = F.struct("n", (-F.col("id")).alias("i"))
-    near = edges.join(degrees.select(F.col("id").alias("dst"), rank.alias("far")), "dst").groupBy(F.col("src").alias("id"))
-    ranked = degrees.join(near.agg(F.max("far").alias("far")), "id").select("id", "n", (rank > F.col("far")).alias("is_top"))
+    # Of nodes with as many friends the smaller id is the larger node. Flags are hashed where structs would be sorted.
+    larger = (F.col("far") > F.col("near")) | ((F.col("far") == F.col("near")) & (F.col("dst") < F.col("src")))
+    both = _both_ends(edges, degrees, "n", hot, parts, fits).select(F.col("src").alias("id"), F.col("near").alias("n"), larger.alias("larger"))
+    ranked = both.groupBy("id").agg(F.max("n").alias("n"), (~F.max("larger")).alias("is_top"))
     return [r["id"] for r in ranked.orderBy(F.desc("is_top"), F.desc("n"), "id").limit(c).collect()]
 
 
@@ -46,23 +64,28 @@ def _start(edges: DataFrame, degrees: DataFrame, seeds: list[int]) -> DataFrame:
     return degrees.select("id").join(found, "id", "left").select("id", F.coalesce("f", none).alias("f"))
 
 
-def _pulls(edges: DataFrame, nodes: DataFrame, chance: float, hot: DataFrame) -> DataFrame:
-    """``(id, c, g)``: what friends pull a node to each of their communities with, and its links' likelihood."""
-    far = nodes.select(F.col("id").alias("dst"), F.col("f").alias("fv"))
-    near = nodes.select(F.col("id").alias("src"), F.col("f").alias("fu"))
-    both = skew_join(edges, far, ["dst"], hot.withColumnRenamed("id", "dst"), salt_on=["src"])
-    both = skew_join(both, near, ["src"], hot.withColumnRenamed("id", "src"), salt_on=["dst"])
+def _pulls(
+    edges: DataFrame, nodes: DataFrame, chance: float, hot: DataFrame | None = None, parts: int | None = None, fits: bool = False
+) -> DataFrame:
+    """``(id, c, g)``: what friends pull a node to each of their communities with, and its links' likelihood.
+
+    In ``parts`` parts a node's sums are made where its edges lie; those of a node on several salts are added up.
+    """
+    salted = bool(parts) and hot is not None and not fits
+    both = _both_ends(edges, nodes, "f", hot, parts, fits, keep_salt=salted)
     shared = F.aggregate(
-        F.map_entries("fu"), F.lit(chance), lambda q, e: q + e["value"] * F.coalesce(F.try_element_at("fv", e["key"]), F.lit(0.0))
+        F.map_entries("near"), F.lit(chance), lambda q, e: q + e["value"] * F.coalesce(F.try_element_at("far", e["key"]), F.lit(0.0))
     )
-    both = both.select("src", "fv", shared.alias("q"))
+    salt = [SALT] if salted else []
+    both = both.select("src", *salt, "far", shared.alias("q"))
     certain = -F.expm1(-F.col("q"))  # exact for small affinities
     pulls = F.transform(
-        F.map_entries("fv"), lambda e: F.struct(e["key"].alias("c"), (e["value"] / certain).alias("g"))
+        F.map_entries("far"), lambda e: F.struct(e["key"].alias("c"), (e["value"] / certain).alias("g"))
     )
     share = F.struct(F.lit(LIKELIHOOD).alias("c"), (F.log(certain) + F.col("q")).alias("g"))
-    links = both.select(F.col("src").alias("id"), F.explode(F.concat(pulls, F.array(share))).alias("e"))
-    return links.groupBy("id", "e.c").agg(F.sum("e.g").alias("g"))
+    links = both.select(F.col("src").alias("id"), *salt, F.explode(F.concat(pulls, F.array(share))).alias("e"))
+    sums = links.groupBy("id", *salt, "e.c").agg(F.sum("e.g").alias("g"))
+    return deal(sums, parts, "id").groupBy("id", "c").agg(F.sum("g").alias("g")) if salted else sums
 
 
 def _totals(rows: DataFrame, value: str) -> dict[int, float]:
@@ -71,16 +94,22 @@ def _totals(rows: DataFrame, value: str) -> dict[int, float]:
 
 
 def fit_affiliations(
-    edges: DataFrame, c: int, tolerance: float = 1e-3, max_rounds: int = 50, rows_per_task: int = 1_000_000
+    edges: DataFrame, c: int, tolerance: float = 1e-3, max_rounds: int = 50, rows_per_task: int = 1_000_000,
+    links_per_part: int = ROWS_PER_PART,
 ) -> tuple[DataFrame, float, list[float]]:
     """Strengths ``(id, c, strength)`` that are not zero, the density, and the log-likelihood before each round.
 
     Rounds end when the log-likelihood rises by less than ``tolerance`` of its size. Each is written to the shared
     folder and its predecessor deleted; nodes with more than ``rows_per_task`` friends are salted in both joins.
-    Loops and null ends are left out; a graph without edges is an error.
+    Loops and null ends are left out; a graph without edges is an error. Many links are dealt to parts of about
+    ``links_per_part``, a node's links to one part, so that what a task sorts or sums does not grow with the graph.
     """
     spark = edges.sparkSession
-    edges = pin(undirected(edges).select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")))
+    links = pin(edges.select("src", "dst").na.drop())
+    parts = parts_of(spark, 2 * links.count(), links_per_part)
+    edges = undirected(links, parts).select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    edges = pin(deal(edges, parts, "src"))
+    unpin(spark, links)
     degrees = pin(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")))
     size = degrees.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("ends")).first()
     if not size["nodes"]:
@@ -88,11 +117,13 @@ def fit_affiliations(
     density = min(size["ends"] / (size["nodes"] * (size["nodes"] - 1)), 0.999)
     chance = -CHANCE * math.log(1 - density)
     hot = degrees.where(F.col("n") > rows_per_task).select("id", F.ceil(F.col("n") / rows_per_task).cast("bigint").alias(SALTS))
-    nodes = pin(_start(edges, degrees, _seeds(edges, degrees, c)))
+    hot = None if hot.isEmpty() else hot
+    fits = lambda strengths: bool(parts) and fits_workers(spark, NODE_NUMBERS * size["nodes"] + strengths, 16)
+    nodes = pin(_start(edges, degrees, _seeds(edges, degrees, c, hot, parts, fits(0))))
     held = nodes.select("id", F.explode("f").alias("c", "v"))
     totals, history = _totals(held, "v"), []
     while True:
-        pulls = pin(_pulls(edges, nodes, chance, hot))
+        pulls = pin(_pulls(edges, nodes, chance, hot, parts, fits(held.count() if parts else 0)))
         explained = pulls.where(F.col("c") == LIKELIHOOD).agg(F.sum("g")).first()[0]
         history.append(explained - sum(v * v for v in totals.values()))
         gained = history[-1] - history[-2] if len(history) > 1 else math.inf
@@ -101,7 +132,7 @@ def fit_affiliations(
             break
         # A total per community, as rows: Spark sees how small it is.
         whole = spark.createDataFrame(sorted(totals.items()), "c int, whole double")
-        moved = pulls.join(held, ["id", "c"], "left").join(whole, "c", "left").select(
+        moved = deal(pulls, parts, "id").join(deal(held, parts, "id"), ["id", "c"], "left").join(whole, "c", "left").select(
             "id", "c", (F.col("v") * F.col("g")).alias("vg"), (F.col("v").isNull() & (F.col("g") > F.col("whole"))).alias("enters")
         )
         moved = pin(moved)
@@ -109,7 +140,7 @@ def fit_affiliations(
         root = spark.createDataFrame([(k, math.sqrt(v)) for k, v in sorted(squares.items()) if v], "c int, root double")
         value = F.when(F.col("enters"), F.lit(ENTRY)).otherwise(F.col("vg") / F.col("root"))
         entry = F.when(value >= LEAST, F.struct("c", value.alias("v")))
-        new = moved.join(root, "c", "left").groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("f"))
+        new = deal(moved, parts, "id").join(root, "c", "left").groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("f"))
         last, nodes = nodes, pin(new)
         held = nodes.select("id", F.explode("f").alias("c", "v"))
         totals = _totals(held, "v")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revloom.functions.vectors import components, divide, hadamard, total, vector_sums
 from revloom.operators.ordering import number_rows
 from revloom.operators.skew import SALTS, skew_join
-from revloom.session import pin, unpin
+from revloom.session import deal, pin, unpin
 
 # The affinity of two neighbours is kept above this, so that dividing by it stays finite.
 MIN_AFFINITY = 1e-9
@@ -57,11 +57,13 @@ def attach_communities(
     return skew_join(reviews, side, ["user_id"], hot_users)
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge once, without loops."""
+def undirected(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Both directions of every edge once, without loops; pairs are compared in so many parts, if a number is given."""
     whole = edges.select("src", "dst").na.drop().where(F.col("src") != F.col("dst"))
-    back = whole.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return whole.unionByName(back).distinct()
+    # A pair is compared once, the smaller end first, and turned round afterwards.
+    pairs = deal(whole.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), parts, "a", "b").distinct()
+    ways = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ("ab", "ba")])
+    return pairs.select(F.inline(ways))
 
 
 def _start(edges: DataFrame, degrees: DataFrame, seeds: list[int]) -> DataFrame:

@@ -28,9 +28,14 @@ def friend_edges(users: DataFrame, friends: str = "friends") -> DataFrame:
     return map_friends(long, users)
 
 
-def map_friends(links: DataFrame, users: DataFrame) -> DataFrame:
-    """``(src, dst)`` from links ``(src, friend_id)`` whose far end is still a string id."""
+def map_friends(links: DataFrame, users: DataFrame, hashed: bool = False) -> DataFrame:
+    """``(src, dst)`` from links ``(src, friend_id)`` whose far end is still a string id.
+
+    ``hashed`` is for many links: they pass the tasks' shares of the users, held as tables, and are not sorted.
+    """
     dictionary = users.select("user_id", "user_id_index")
+    if hashed:
+        dictionary = dictionary.hint("shuffle_hash")
     return apply_dictionary(links, dictionary, "friend_id", "dst", "user_id", "user_id_index").select(
         "src", "dst"
     )

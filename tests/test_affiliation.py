@@ -1,5 +1,7 @@
 """Sparse affiliations against the same rule in NumPy, and against planted communities."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -72,3 +74,41 @@ def test_odd_graphs(spark):
         aff.detect_communities(spark.createDataFrame([(1, 1), (None, 2)], schema), 2)
     one = aff.detect_communities(spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 1)], schema), 5, max_rounds=3).collect()
     assert {r.user_id for r in one} <= {1, 2}
+
+
+@pytest.mark.parametrize("fits, rows_per_task", [(True, 1_000_000), (False, 1_000_000), (False, 7)])
+def test_many_links_come_in_parts_of_bounded_size(spark, monkeypatch, fits, rows_per_task):
+    """Whether nodes fit or not, and with nodes on several salts, parts change nothing but what a task holds."""
+    _, edges = _planted(spark, 1)
+    want, _, history = aff.fit_affiliations(edges, 3, tolerance=-1.0, max_rounds=2)
+    plans, pin = [], aff.pin
+    monkeypatch.setattr(aff, "pin", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or pin(df))
+    monkeypatch.setattr(aff, "fits_workers", lambda *_: fits)
+    got, _, again = aff.fit_affiliations(edges, 3, tolerance=-1.0, max_rounds=2, rows_per_task=rows_per_task, links_per_part=300)
+    want, got = ({(r.id, r.c): r.strength for r in x.collect()} for x in (want, got))
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in got)
+    assert np.allclose(history, again)
+    parts = -(-2 * edges.count() // 300)
+    exchanges = [re.findall(r"hashpartitioning\(([^()]*), (\d+)\)", p) for p in plans]
+    assert parts > 4 and exchanges[1] and {int(n) for _, n in exchanges[1]} == {parts}  # pairs and their layout
+    rounds = [e for p, e in zip(plans, exchanges) if "expm1" in p.lower()]
+    assert len(rounds) == 3
+    for e in rounds:
+        # The links lie as they are if nodes come to them; else both joins are dealt, and sums are made where they end.
+        assert all(int(n) == parts for _, n in e) and len(e) == (5 if rows_per_task == 7 else 4) if not fits else len(e) == 1
+
+
+def test_seeds_have_more_friends_than_their_friends(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(-20, 20, (70, 2)) if a != b}
+    sym = aff.undirected(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    rank = lambda i: (len(near[i]), -i)
+    order = sorted(near, key=lambda i: (not all(rank(i) > rank(j) for j in near[i]), -len(near[i]), i))
+    degrees = sym.groupBy(sym.src.alias("id")).agg(aff.F.count(aff.F.lit(1)).alias("n"))
+    hot = degrees.where("n > 3").select("id", aff.F.lit(3).cast("bigint").alias(aff.SALTS))
+    for options in ({}, {"parts": 6}, {"parts": 6, "hot": hot}, {"fits": True}):
+        assert aff._seeds(sym, degrees, 12, **options) == order[:12]
