@@ -1,0 +1,125 @@
+"""What forests write, exchange and send: rows once as blocks, no vectors, and trees to the pairs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from revloom.operators import forests, regression
+from revloom.operators.forests import Forest
+from revloom.plans import queries, roles
+
+SF = "/root/testdata/sf0.001"
+K = 3
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i}", i % 7, float(i % 5), [float(v) for v in rng.normal(size=K)]) for i in range(400)]
+    return spark.createDataFrame(rows, "review_id string, user_id bigint, label double, features array<double>").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def members(spark):
+    return spark.createDataFrame([(u, c) for u in range(7) for c in (u % 2, 9)] + [(1, None), (None, 9)], "user_id bigint, community_id bigint")
+
+
+def _recorded(monkeypatch, module):
+    kept, pin = [], module.pin
+
+    def recording(df, *more):
+        kept.append(set(df.columns))
+        return pin(df, *more)
+
+    monkeypatch.setattr(module, "pin", recording)
+    return kept
+
+
+def _sorted(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_rows_of_a_forest_are_written_once(data, members, monkeypatch):
+    kept = _recorded(monkeypatch, forests)
+    assert forests.fit_forests(data, K, Forest(num_trees=2, max_depth=3, bins=8), members, local_rows=100).count() > 4
+    assert sum("bins" in columns for columns in kept if "feature" not in columns) == 1
+
+
+def test_rows_dealt_by_community_give_the_same_forest(data, members):
+    spec = Forest(num_trees=2, max_depth=3, bins=8)
+    dealt = data.withColumn("h", F.xxhash64("review_id")).join(members.distinct(), "user_id").select("community_id", "h", "label", "features")
+    for local_rows in (100, 10_000):
+        want = forests.fit_forests(data, K, spec, members, local_rows=local_rows)
+        assert _sorted(forests.fit_forests(data, K, spec, dealt=dealt, local_rows=local_rows)) == _sorted(want)
+
+
+def test_rounds_where_trees_are_not_sent(spark, data, members, monkeypatch):
+    spec = Forest(num_trees=2, max_depth=3, bins=8)
+    want = _sorted(forests.fit_forests(data, K, spec, members, local_rows=20))
+    monkeypatch.setattr(forests, "fits_workers", lambda *_: False)
+    assert _sorted(forests.fit_forests(data, K, spec, members, local_rows=20)) == want
+
+
+def test_trees_come_to_the_pairs(spark, data, members, monkeypatch):
+    nodes = forests.fit_forests(data, K, Forest(num_trees=2, max_depth=3, bins=8), members)
+    kind = "user_id bigint, business_id bigint, label double, num_of_reviews bigint, blended_features array<double>"
+    pairs = spark.createDataFrame([(i % 9, i, 1.0, 2, [i / 20 - 1, 0.1, -0.2]) for i in range(40)], kind)
+    kept = _recorded(monkeypatch, forests)
+    found = _sorted(forests.score_forests(pairs, nodes, members))
+    assert not kept and len(found) > 60
+    repeated = pairs.join(members.distinct(), "user_id")
+    assert _sorted(forests.score_forests(repeated, nodes)) == found
+    monkeypatch.setattr(forests, "SENT_NODES", 0)
+    assert _sorted(forests.score_forests(pairs, nodes, members)) == found
+    assert forests.score_forests(pairs.limit(0), nodes, members).count() == 0
+    assert forests.score_forests(pairs, nodes.limit(0), members).count() == 0
+
+
+def test_down_follows_the_nodes():
+    rng = np.random.default_rng(1)
+    node, feature, cut = np.array([1, 2, 3, 6, 7, 13]), np.array([0, -1, 2, 1, -2, 0]), np.array([0.1, 0, -0.3, 0.2, 0, 0.4])
+    x = rng.normal(size=(200, 3))
+    held = dict(zip(node.tolist(), zip(feature.tolist(), cut.tolist())))
+    want = []
+    for row in x:
+        at = 1
+        while at in held and held[at][0] >= 0:
+            at = 2 * at + (row[held[at][0]] > held[at][1])
+        want.append(at)
+    shuffled = rng.permutation(len(node))
+    tree = forests.Tree(node[shuffled], feature[shuffled], cut[shuffled])
+    for rows in (x, np.asfortranarray(x)):
+        at, place = tree.down(rows)
+        assert at.tolist() == want and all((p < 0) == (a not in held) for a, p in zip(at.tolist(), place))
+        assert [int(tree.node[p]) for a, p in zip(at, place) if p >= 0] == [a for a in want if a in held]
+        some = np.array([5, 3, 150])
+        assert tree.down(rows, some)[0].tolist() == [want[i] for i in some]
+
+
+def test_draws_are_those_of_the_whole_number():
+    h = np.arange(300_000)
+    draw = forests._mixed(h.astype(np.uint64) ^ forests._seed(12345, 1, 2)) >> np.uint64(11)
+    want = np.searchsorted(forests.POISSON, draw.astype(np.float64) * 2.0**-53, side="right")
+    assert np.array_equal(forests.weights(Forest(), 1, 2, h), want)
+
+
+@pytest.mark.parametrize("membership", [None, roles.region_membership])
+def test_forest_queries_write_no_vectors(spark, monkeypatch, membership):
+    kept = [_recorded(monkeypatch, module) for module in (queries, forests)]
+    found = queries._forest_pairs(spark, SF, membership and membership(spark, SF))
+    assert found.count() > 0
+    wide = {"features", "blended_features", "x", "date"}
+    assert kept[0] and not any(wide & columns for held in kept for columns in held)
+
+
+def test_blend_of_layouts_and_communities(spark, members):
+    rows = [(f"r{i}", i % 7, i % 5, float(i % 5), [1.0 + i % 3, i / 50, -1.0], i % 4 > 0) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "review_id string, user_id bigint, business_id bigint, label double, features array<double>, is_train boolean")
+    columns = ["user_id", "business_id", "label", "num_of_reviews", "blended_features"]
+    flat = lambda df, *more: sorted((*(r[c] for c in (*columns[:4], *more)), *(round(v, 9) for v in r.blended_features)) for r in df.collect())
+    for source in ("all", "train"):
+        want = regression.blended_test(vectors, "l2sum", K, source)
+        laid = (vectors.repartition("user_id"), vectors.repartition("business_id"))
+        assert flat(regression.blended_test(vectors, "l2sum", K, source, layouts=laid)) == flat(want)
+        repeated = regression.blended_test(vectors, "l2sum", K, source, membership=members)
+        assert flat(repeated.where("community_id is not null"), "community_id") == flat(want.join(members.where("community_id is not null").distinct(), "user_id"), "community_id")
